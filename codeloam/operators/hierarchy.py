@@ -19,7 +19,7 @@ from ..runtime import changed, pinned, whole_groups
 #: Most rows that are traversed in one task.
 MAX_ROWS = 200_000
 
-RESULT = "parent_id long, root_id long, depth int, names array<string>, n_descendants long, enter long, leave long, status string, cycle array<long>"
+RESULT = "parent_id long, root_id long, depth int, names array<string>, n_descendants long, enter long, leave long, status string, cycle array<long>, path_ids array<long>"
 
 
 def _beside(a: DataFrame, b: DataFrame, scope: list[str], on: str, how: str = "inner") -> DataFrame:
@@ -87,6 +87,7 @@ def _traverse(ids: list, parents: list, names: list) -> tuple[list, ...]:
             children[up[i]].append(i)
     root, depth, below, enter, leave = [-1] * n, [-1] * n, [0] * n, [-1] * n, [-1] * n
     path: list = [None] * n
+    chain: list = [None] * n
     status, cycle = ["below_loop"] * n, [None] * n
     clock = 0
     for r in range(n):
@@ -94,6 +95,7 @@ def _traverse(ids: list, parents: list, names: list) -> tuple[list, ...]:
             continue
         stack = [(r, 0)]
         root[r], depth[r], path[r], status[r], enter[r] = r, 0, [names[r] or ""], "root", clock
+        chain[r] = [ids[r]]
         clock += 1
         while stack:
             i, k = stack.pop()
@@ -101,6 +103,7 @@ def _traverse(ids: list, parents: list, names: list) -> tuple[list, ...]:
                 stack.append((i, k + 1))
                 c = children[i][k]
                 root[c], depth[c], path[c], status[c], enter[c] = r, depth[i] + 1, [*path[i], names[c] or ""], "node", clock
+                chain[c] = [ids[c], *chain[i]]
                 clock += 1
                 stack.append((c, 0))
             else:
@@ -122,7 +125,7 @@ def _traverse(ids: list, parents: list, names: list) -> tuple[list, ...]:
                 status[x], cycle[x] = "loop", members
         for x in walk:
             colour[x] = 2
-    return [ids[r] if r >= 0 else -1 for r in root], depth, path, below, enter, leave, status, cycle
+    return [ids[r] if r >= 0 else -1 for r in root], depth, path, below, enter, leave, status, cycle, chain
 
 
 def hierarchy(nodes: DataFrame, scope: list[str], id_: str, parent: str, name: str, container: str, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -130,8 +133,8 @@ def hierarchy(nodes: DataFrame, scope: list[str], id_: str, parent: str, name: s
 
     status: root, node, loop (on a cycle; `cycle` lists its ids) or below_loop; of the last two, root_id and depth are -1
     and names is null. Rows that share (scope, root_id) are a tree; the descendants of a row are those of its tree whose
-    enter lies within (enter, leave]; see descendants(). In components above max_rows, enter, leave and cycle are null,
-    and descendants() takes the ancestors from `path_ids`, a column that is null in all others. Links: resolve_links().
+    enter lies within (enter, leave]. path_ids are the ids from the row up to its root; descendants() turns them round. In
+    components above max_rows, enter, leave and cycle are null. Links: resolve_links().
     No rows give no rows; columns other than those named are ignored.
     """
     links = pinned(resolve_links(nodes, scope, id_, parent, name, container).repartition(*scope, "_id"))
@@ -150,18 +153,18 @@ def hierarchy(nodes: DataFrame, scope: list[str], id_: str, parent: str, name: s
         flags = changed(table, keys)
         cuts = [0, *([i + 1 for i, x in enumerate(flags.to_pylist()) if x] if table.num_rows > 1 else []), table.num_rows]
         ids, parents, names = (table.column(c).to_pylist() for c in ("_id", "_parent", "_name"))
-        parts: list[list] = [[] for _ in range(8)]
+        parts: list[list] = [[] for _ in range(9)]
         for a, b in zip(cuts, cuts[1:]):
             for into, values in zip(parts, _traverse(ids[a:b], parents[a:b], names[a:b])):
                 into.extend(values)
-        types = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+        types = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         columns = [*(table.column(k) for k in scope), table.column("_id"), table.column("_parent"), *(pa.array(v, t) for v, t in zip(parts, types))]
-        labels = [*scope, "id", "parent_id", "root_id", "depth", "names", "n_descendants", "enter", "leave", "status", "cycle"]
+        labels = [*scope, "id", "parent_id", "root_id", "depth", "names", "n_descendants", "enter", "leave", "status", "cycle", "path_ids"]
         yield from pa.Table.from_arrays(columns, names=labels).to_batches(max_chunksize=10_000)
 
     key_ddl = ", ".join(f"`{k}` {kinds[k]}" for k in scope)
     sorted_ = located.repartition(*keys).sortWithinPartitions(*keys, "_id")
-    out = sorted_.mapInArrow(whole_groups(keys, traverse), f"{key_ddl}, id long, {RESULT}").withColumn("path_ids", F.lit(None).cast("array<long>"))
+    out = sorted_.mapInArrow(whole_groups(keys, traverse), f"{key_ddl}, id long, {RESULT}")
     return out if jumped is None else out.unionByName(jumped)
 
 
@@ -186,13 +189,7 @@ def _from_pointers(comp: DataFrame, scope: list[str]) -> DataFrame:
 def descendants(tree: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, id, descendant, steps) from the result of hierarchy(): one row per row and each row below it.
 
-    Rows of a tree meet by their enter numbers (a range within the tree), those of a tree above the bound by the ancestors they carry.
+    Each row names its ancestors, so the work is the size of the result.
     """
-    tree = pinned(tree)
-    node = tree.where("status in ('root', 'node')")
-    deep = node.where("path_ids is not null").select(*scope, F.col("id").alias("descendant"), F.expr("posexplode(slice(path_ids, 2, size(path_ids))) as (k, id)")).selectExpr(*(f"`{k}`" for k in scope), "id", "descendant", "k + 1 as steps")
-    flat = node.where("path_ids is null")
-    above = flat.where("n_descendants > 0").select(*scope, "id", "enter", "leave", F.col("depth").alias("_d"), F.col("root_id").alias("_r"))
-    below = flat.select(*scope, F.col("id").alias("descendant"), F.col("enter").alias("_e"), "depth", "root_id")
-    pairs = _beside(below, above, scope, "root_id = _r and _e > enter and _e <= leave")
-    return pairs.selectExpr(*(f"`{k}`" for k in scope), "id", "descendant", "depth - _d as steps").unionByName(deep)
+    node = tree.where("status = 'node'")
+    return node.select(*scope, F.col("id").alias("descendant"), F.expr("posexplode(slice(path_ids, 2, size(path_ids))) as (k, id)")).selectExpr(*(f"`{k}`" for k in scope), "id", "descendant", "k + 1 as steps")
