@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
 from .cooccurrence import cooccurrence
+from .funcdoc import function_pairs
 from .percentiles import certified, digest, merge, quantiles
+from .spam import spam_pages
 
 _RANKS = {"lower": F.floor((F.col("n") - 1) / 2), "upper": F.floor(F.col("n") / 2), "p90": F.greatest(F.floor(F.col("n") * F.lit(0.9)) - 1, F.lit(0))}
 _GROUP = ["repo", "language"]
@@ -55,7 +57,25 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _together(spark, d).select("repo", F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"), "n_ab", "n_a", "n_b", "records", F.round("lift", 6).alias("lift"), F.round("odds_ratio", 6).alias("odds_ratio"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_percentiles, p4_found, p4_pairs)}
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return function_pairs(table(spark, d, "files"), table(spark, d, "declarations"), columns=["repo", "path", "idx"])
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs themselves: documentation and code."""
+    return function_pairs(table(spark, d, "files"), table(spark, d, "declarations"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam_pages(table(spark, d, "documents")).where("spam").select("doc_id")
+
+
+def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """What the verdict rests on, for every document."""
+    return spam_pages(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_percentiles, p4_found, p4_pairs, p9_found, p9_shapes)}
 
 _PAIRS = """
 WITH c AS (SELECT DISTINCT repo, commit_id, regexp_replace(replace(path, chr(92), '/'), '^\\./', '') AS path FROM file_changes WHERE path IS NOT NULL AND commit_id IS NOT NULL),
