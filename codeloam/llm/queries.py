@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sources.tables import table
 from .cooccurrence import cooccurrence
 from .funcdoc import function_pairs
+from .leakage import leaks
 from .percentiles import certified, digest, merge, quantiles
 from .spam import spam_pages
 
@@ -66,6 +67,10 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return function_pairs(table(spark, d, "files"), table(spark, d, "declarations"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages(table(spark, d, "documents")).where("spam").select("doc_id")
 
@@ -75,7 +80,7 @@ def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_percentiles, p4_found, p4_pairs, p9_found, p9_shapes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_percentiles, p4_found, p4_pairs, p8_found, p9_found, p9_shapes)}
 
 _PAIRS = """
 WITH c AS (SELECT DISTINCT repo, commit_id, regexp_replace(replace(path, chr(92), '/'), '^\\./', '') AS path FROM file_changes WHERE path IS NOT NULL AND commit_id IS NOT NULL),
