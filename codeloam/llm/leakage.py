@@ -22,7 +22,7 @@ from ..runtime import stored
 #: Words in a passage, and the steps between the starts of the documents' and the items' passages.
 WINDOW, DOC_STEP, ITEM_STEP = 24, 8, 4
 #: Dimensions of the latent space, power iterations of its computation, and the least cosine of a candidate.
-DIMENSIONS, ITERATIONS, COSINE = 96, 2, 0.3
+DIMENSIONS, ITERATIONS, COSINE = 96, 2, 0.45
 #: Items that are held in memory at once; more are taken in blocks, each against all documents.
 BLOCK_ITEMS = 2_000
 
@@ -183,8 +183,9 @@ def leaks(documents: DataFrame, items: DataFrame, id_: str = "doc_id", text: str
     """(doc_id, item_id): the document holds at least `least` words of the item's passage with at most one edit in per_edit words.
 
     Null and empty texts and items shorter than `least` words match nothing; repeated documents and items with equal
-    passages all count; texts are read whole; other columns are ignored; empty tables give no rows. A passage of a
-    document whose weight lies by less than half the cosine in the items' terms is no candidate: its cosine cannot reach it.
+    passages all count; texts are read whole; other columns are ignored; empty tables give no rows. The cosine is that of
+    the latent vectors times the share of the passage's norm that lies in terms of the items: a term that no item has adds
+    nothing to any product. A passage whose share is below the wanted cosine is therefore no candidate.
     """
     spark = documents.sparkSession
     wanted = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
@@ -245,7 +246,7 @@ def _block(spark, documents: DataFrame, items: Items, least: int, per_edit: int,
         block, (idf, basis, queries) = known.value, latent.value
         square = np.r_[idf.astype(np.float64) ** 2, 0.0]
         for batch in batches:
-            docs, starts, terms = [], [], []
+            docs, starts, shares, terms = [], [], [], []
             sequences = [np.frombuffer(w, np.int32) for w in batch.column(1).to_pylist()]
             for k, s in enumerate(sequences):
                 t = block.term_numbers(s)
@@ -256,17 +257,17 @@ def _block(spark, documents: DataFrame, items: Items, least: int, per_edit: int,
                 other = np.r_[0.0, np.cumsum(np.where(t < 0, strange, 0.0))]
                 at = np.unique(np.r_[np.arange(0, len(t) - width + 1, DOC_STEP), len(t) - width])
                 inside, outside = mine[at + width] - mine[at], other[at + width] - other[at]
-                for a in at[inside >= (cosine / 2) ** 2 * (inside + outside)]:
+                share = np.sqrt(inside / np.maximum(inside + outside, 1e-9))
+                for a, h in zip(at[share >= cosine], share[share >= cosine]):
                     x = t[a : a + width]
-                    x = x[x >= 0]
-                    if len(x):
-                        docs.append(k)
-                        starts.append(a)
-                        terms.append(x)
+                    docs.append(k)
+                    starts.append(a)
+                    shares.append(h)
+                    terms.append(x[x >= 0])
             found: set[tuple[int, int]] = set()
             done: set[tuple[int, int, int]] = set()
             for lo in range(0, len(terms), 4096):
-                near = _embed(terms[lo : lo + 4096], idf, basis) @ queries.T
+                near = _embed(terms[lo : lo + 4096], idf, basis) @ queries.T * np.array(shares[lo : lo + 4096], np.float32)[:, None]
                 for r, c in zip(*np.nonzero(near >= cosine)):
                     k, item, a = docs[lo + r], int(block.owner[c]), int(starts[lo + r])
                     if (k, item) in found or (k, item, a) in done:
