@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sources.tables import table
 from .cooccurrence import cooccurrence
 from .funcdoc import function_pairs
+from .generated import not_by_hand
 from .leakage import leaks
 from .percentiles import certified, digest, merge, quantiles
 from .spam import spam_pages
@@ -26,6 +27,15 @@ def _estimated(rows: DataFrame) -> DataFrame:
     return quantiles(digest(rows, _GROUP, "complexity"), _GROUP, _RANKS)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_by_hand(table(spark, d, "files")).select("repo", "path")
+
+
+def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """With what each file is: generated, minified, vendored or blob."""
+    return not_by_hand(table(spark, d, "files"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _measured(spark, d)
     e = certified(rows, _GROUP, "complexity", _estimated(rows), _RANKS)
@@ -80,7 +90,7 @@ def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_percentiles, p4_found, p4_pairs, p8_found, p9_found, p9_shapes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_reasons, p3_found, p3_percentiles, p4_found, p4_pairs, p8_found, p9_found, p9_shapes)}
 
 _PAIRS = """
 WITH c AS (SELECT DISTINCT repo, commit_id, regexp_replace(replace(path, chr(92), '/'), '^\\./', '') AS path FROM file_changes WHERE path IS NOT NULL AND commit_id IS NOT NULL),
