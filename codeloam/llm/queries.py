@@ -9,6 +9,7 @@ from .cooccurrence import cooccurrence
 from .funcdoc import function_pairs
 from .generated import not_by_hand
 from .leakage import leaks
+from .packing import pack
 from .percentiles import certified, digest, merge, quantiles
 from .spam import spam_pages
 
@@ -77,6 +78,17 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return function_pairs(table(spark, d, "files"), table(spark, d, "declarations"))
 
 
+def p7_containers(spark: SparkSession, d: str, capacity: int = 2048) -> DataFrame:
+    """The container of every text, or of every piece of a text that is larger than one."""
+    return pack(table(spark, d, "documents"), capacity)
+
+
+def p7_fill(spark: SparkSession, d: str, capacity: int = 2048) -> DataFrame:
+    """How full the containers are: their number, the tokens in them, and the share of space left over."""
+    held = pack(table(spark, d, "documents"), capacity).groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("texts"))
+    return held.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"), F.max("texts").alias("most_texts"), F.round(1 - F.sum("n") / (F.count("*") * capacity), 4).alias("left_over"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -90,7 +102,7 @@ def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_reasons, p3_found, p3_percentiles, p4_found, p4_pairs, p8_found, p9_found, p9_shapes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_reasons, p3_found, p3_percentiles, p4_found, p4_pairs, p7_containers, p7_fill, p8_found, p9_found, p9_shapes)}
 
 _PAIRS = """
 WITH c AS (SELECT DISTINCT repo, commit_id, regexp_replace(replace(path, chr(92), '/'), '^\\./', '') AS path FROM file_changes WHERE path IS NOT NULL AND commit_id IS NOT NULL),
