@@ -16,8 +16,8 @@ def renamed(changes: DataFrame) -> DataFrame:
     changes: repo, commit_id, pos (0 = newest), path, from_path, status. Rows without a path are dropped.
     """
     rows = changes.where("path is not null")
-    renames = rows.where("from_path is not null and status like 'R%'").select("repo", F.col("from_path").alias("_old"), F.col("path").alias("_new"), F.col("pos").alias("_rpos")).groupBy("repo", "_old", "_rpos").agg(F.min("_new").alias("_new"))
-    met = rows.where("from_path is null").join(renames, [F.col("_old") == F.col("path"), rows["repo"] == renames["repo"], F.col("_rpos") < F.col("pos")], "left").drop(renames["repo"])
+    renames = rows.where("from_path is not null and status like 'R%'").select(F.col("repo").alias("_rrepo"), F.col("from_path").alias("_old"), F.col("path").alias("_new"), F.col("pos").alias("_rpos")).groupBy("_rrepo", "_old", "_rpos").agg(F.min("_new").alias("_new"))
+    met = rows.where("from_path is null").join(renames, [F.col("_old") == F.col("path"), F.col("repo") == F.col("_rrepo"), F.col("_rpos") < F.col("pos")], "left")
     plain = met.groupBy(*[c for c in rows.columns]).agg(F.max_by("_new", "_rpos").alias("_to")).withColumn("now", F.coalesce("_to", "path")).drop("_to")
     return plain.unionByName(rows.where("from_path is not null").withColumn("now", F.col("path")))
 
