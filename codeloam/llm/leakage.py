@@ -101,7 +101,7 @@ def aligned(item: np.ndarray, doc: np.ndarray, least: int, per_edit: int, seed:
         run &= equal[k : len(item) - seed + 1 + k, k : len(doc) - seed + 1 + k]
     first = run.copy()
     first[1:, 1:] &= ~run[:-1, :-1]
-    most = max(4, least // per_edit + 1)
+    most = 2 * (least // per_edit)
     a, b = item.tolist(), doc.tolist()
     for i, j in zip(*np.nonzero(first)):
         right = _reach(a, b, int(i), int(j), 1, most)
@@ -109,7 +109,8 @@ def aligned(item: np.ndarray, doc: np.ndarray, least: int, per_edit: int, seed:
         for x in range(most + 1):
             for y in range(most + 1 - x):
                 n = left[x] + right[y]
-                if n >= least and n >= per_edit * (x + y):
+                more = max(0, least - n)  # changed words at the ends
+                if n + more <= len(a) and n + more >= per_edit * (x + y + more):
                     return True
     return False
 

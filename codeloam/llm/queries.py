@@ -13,7 +13,12 @@ from .packing import pack
 from .percentiles import certified, digest, merge, quantiles
 from .spam import spam_pages
 
-_RANKS = {"lower": F.floor((F.col("n") - 1) / 2), "upper": F.floor(F.col("n") / 2), "p90": F.greatest(F.floor(F.col("n") * F.lit(0.9)) - 1, F.lit(0))}
+def _ranks() -> dict:
+    """The project's rules: the median is the truncated mean of the two middle values, p90 stands at max(floor(0.9 n) - 1, 0)."""
+    n = F.col("n")
+    return {"lower": F.floor((n - 1) / 2), "upper": F.floor(n / 2), "p90": F.greatest(F.floor(n * F.lit(0.9)) - 1, F.lit(0))}
+
+
 _GROUP = ["repo", "language"]
 
 
@@ -25,7 +30,7 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _estimated(rows: DataFrame) -> DataFrame:
-    return quantiles(digest(rows, _GROUP, "complexity"), _GROUP, _RANKS)
+    return quantiles(digest(rows, _GROUP, "complexity"), _GROUP, _ranks())
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +44,7 @@ def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _measured(spark, d)
-    e = certified(rows, _GROUP, "complexity", _estimated(rows), _RANKS)
+    e = certified(rows, _GROUP, "complexity", _estimated(rows), _ranks())
     sure = F.greatest("lower_error", "upper_error", "p90_error") <= 0.02
     median = F.floor((F.col("lower") + F.col("upper")) / 2)
     held = F.when(sure, F.col("p90") >= 8 * median).otherwise(F.raise_error(F.lit("a rank is off by more than 2%")).cast("boolean"))
@@ -50,7 +55,7 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Median and p90 of each group from digests of single days put together, with certified rank errors."""
     rows = _measured(spark, d)
     days = digest(rows, [*_GROUP, "measured_on"], "complexity")
-    e = certified(rows, _GROUP, "complexity", quantiles(merge(days.drop("measured_on"), _GROUP), _GROUP, _RANKS), _RANKS)
+    e = certified(rows, _GROUP, "complexity", quantiles(merge(days.drop("measured_on"), _GROUP), _GROUP, _ranks()), _ranks())
     return e.select(*_GROUP, "n", F.floor((F.col("lower") + F.col("upper")) / 2).alias("median"), F.floor("p90").alias("p90"), F.greatest("lower_error", "upper_error").alias("median_error"), "p90_error")
 
 
