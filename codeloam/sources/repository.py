@@ -40,7 +40,7 @@ def log_lines(spark: SparkSession, root: str, glob: str = "*.log*") -> DataFrame
 
     Each file is read as one text so that lines keep their numbers; the date in the file's name is there to prune by.
     """
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root).select("value", F.col("_metadata.file_path").alias("path"))
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     rows = texts.select(_relative(root).alias("file"), F.replace("value", F.lit("\u0000"), F.lit("")).alias("value"))
     from ..operators.text import lines
 
