@@ -493,4 +493,13 @@ def affected_files(spark, d):
     return N.affected(references(spark, d), _KEY, declared(spark, d).where("visibility = 0"))
 
 
+@query()
+def python_functions(spark, d):
+    """Functions of the Python files with their complexity, by parsing."""
+    from ..operators.extract import extracted, relation
+
+    files = filed(spark, d).where(F.coalesce(F.col("language") == "python", F.lit(False)) | F.col("path").endswith(".py"))
+    return relation(extracted(files, _KEY), _KEY, "functions")
+
+
 QUERIES, SQL = query.queries, query.sql
