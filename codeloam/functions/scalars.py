@@ -137,9 +137,10 @@ def clip(text: Column | str, n: int) -> Column:
 
 
 def format_size(n: Column | str) -> Column:
-    """Bytes in the largest unit of 1024: B without, K, M and G with one decimal."""
+    """Bytes in the largest unit of 1024: B without, K, M and G with one decimal, halves to even."""
     b = _c(n)
-    return F.when(b < 1024, F.concat(b.cast("string"), F.lit("B"))).when(b < 1 << 20, F.format_string("%.1fK", b / 1024.0)).when(b < 1 << 30, F.format_string("%.1fM", b / float(1 << 20))).when(b.isNotNull(), F.format_string("%.1fG", b / float(1 << 30)))
+    unit = lambda size, word: F.format_string(f"%.1f{word}", F.bround(b / float(size), 1))
+    return F.when(b < 1024, F.concat(b.cast("string"), F.lit("B"))).when(b < 1 << 20, unit(1 << 10, "K")).when(b < 1 << 30, unit(1 << 20, "M")).when(b.isNotNull(), unit(1 << 30, "G"))
 
 
 def first_sentence(text: Column | str) -> Column:
