@@ -136,5 +136,7 @@ def pack(documents: DataFrame, capacity: int, id_: str = "doc_id", text: str = "
             out[a:b] = (number[a] << 32) + at
         yield from table.drop_columns(["_block"]).append_column("container", pa.array(out)).to_batches(max_chunksize=10_000)
 
-    ordered = placed.repartition("_block").sortWithinPartitions("_block", "n_tokens", id_, "piece")
+    # a number of its own, since the rows are few bytes and the work on them is not: adaptive execution would put all into one task
+    wide = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = placed.repartition(min(blocks, max(wide, blocks // 64)), "_block").sortWithinPartitions("_block", "n_tokens", id_, "piece")
     return ordered.mapInArrow(whole_groups(["_block"], run), f"`{id_}` {kind}, {RESULT}")
