@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .text import glob_match
 
@@ -56,3 +56,36 @@ def fit(rows: DataFrame, keys: list[str], order: list[str], size: str, budget: i
     """Adds `state`: whole while the running size is within the budget, cut for the row that crosses it, queued after."""
     upto = F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("_u", upto).withColumn("state", F.when(F.col("_u") <= budget, "whole").when(F.col("_u") - F.col(size) < budget, "cut").otherwise("queued")).drop("_u")
+
+
+def front_globs(text: Column) -> Column:
+    """The globs under `paths:` in a document's front matter, as an array; empty without any. Both a list of lines and one line parted by commas are read."""
+    front = F.regexp_extract(text, "^---\\r?\\n([\\s\\S]*?)\\n---", 1)
+    inline = F.regexp_extract(front, "(?m)^paths:[ \\t]*\\[?([^\\[\\]\\n]*)\\]?[ \\t]*$", 1)
+    listed = F.regexp_extract_all(F.regexp_extract(front, "(?m)^paths:[ \\t]*\\r?\\n((?:[ \\t]*-[^\\n]*(?:\\n|$))+)", 1), F.lit("(?m)^[ \\t]*-[ \\t]*([^\\r\\n]*)"), F.lit(1))
+    parts = F.when(F.trim(inline) != "", F.split(inline, ",")).otherwise(listed)
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")), lambda x: x != "")
+
+
+def body(text: Column) -> Column:
+    """A document without its front matter."""
+    return F.regexp_replace(text, "^---\\r?\\n[\\s\\S]*?\\n---[ \\t]*\\r?\\n", "")
+
+
+def mentions(text: Column) -> Column:
+    """Paths that a Markdown text takes in with @path at the start of a word, outside code, tags and comments."""
+    bare = F.regexp_replace(text, "(?s)```.*?(?:```|$)|~~~.*?(?:~~~|$)|`[^`\\n]*`|<!--.*?-->|<[a-zA-Z/][^>]*>", " ")
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit("(?:^|\\s)@((?:~|\\.{1,2})?/?[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)*)"), F.lit(1)))
+
+
+def kind(path: str) -> Column:
+    """What a document is, by its name."""
+    name = F.lower(F.regexp_extract(path, "[^/]*$", 0))
+    return F.when(name.rlike("^readme"), "readme").when(name.rlike("^(?:changelog|changes|history)"), "changelog").when(name.rlike("^(?:license|licence|copying)"), "licence").when(name.rlike("^contributing"), "contributing").when(name.rlike("\\.(?:md|mdx|rst|adoc|txt)$"), "document")
+
+
+def includes(links: DataFrame, starts: DataFrame, most: int = 4) -> DataFrame:
+    """(start, node, step): documents that each start takes in over at most `most` links. links: source, target; starts: one column."""
+    from .graph import chain as follow
+
+    return follow(links.select(F.col("source").alias("a"), F.col("target").alias("b")), starts, most)

@@ -92,3 +92,25 @@ def ahead_behind(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """How many keys are only in a, and only in b."""
     both = a.select(key).distinct().withColumn("_a", F.lit(1)).join(b.select(key).distinct().withColumn("_b", F.lit(1)), key, "full_outer")
     return both.agg(F.sum(F.when(F.col("_b").isNull(), 1).otherwise(0)).alias("ahead"), F.sum(F.when(F.col("_a").isNull(), 1).otherwise(0)).alias("behind"))
+
+
+def branches(refs: DataFrame, head: str, as_of: str, stale_days: int = 21) -> DataFrame:
+    """Branches worth a look: the head first, then the newest; one per short name, without feature branches and those older than stale_days.
+
+    refs: name (origin/x or x), date.
+    """
+    short = F.regexp_replace("name", "^(?:refs/(?:heads|remotes)/)?(?:origin/)?", "")
+    rows = refs.select(short.alias("branch"), "date").groupBy("branch").agg(F.max("date").alias("date"))
+    is_head = F.col("branch") == head
+    fresh = F.datediff(F.lit(as_of).cast("date"), "date") <= stale_days
+    return rows.where(is_head | (fresh & ~F.col("branch").rlike("^(?:feature|feat|fix|bugfix|hotfix|chore|dependabot|renovate)/"))).orderBy(is_head.desc(), F.desc("date"), "branch")
+
+
+def greedy(rows: list[tuple], budget: int) -> list[tuple]:
+    """Of (name, size) in order those that still fit the budget; one that does not is passed over, later ones may fit. For short lists on the driver."""
+    out, used = [], 0
+    for row in rows:
+        if used + row[1] <= budget:
+            out.append(row)
+            used += row[1]
+    return out

@@ -59,3 +59,12 @@ def coverage(merged: DataFrame, totals: DataFrame, keys: list[str], total: str)
 def holds(first: Column, last: Column, wanted_first: int, wanted_last: int) -> Column:
     """Does one range hold all wanted lines?"""
     return (first <= wanted_first) & (last >= wanted_last)
+
+
+def nest(spans: DataFrame, keys: list[str], id_: str, first: str, last: str) -> DataFrame:
+    """Adds `inside`: the smallest other span of the key that holds the span, of equal ones the one with the least id before it; null for the outermost."""
+    outer = spans.select(*keys, F.col(id_).alias("_id"), F.col(first).alias("_first"), F.col(last).alias("_last"))
+    at = spans.where(F.col(first) <= F.col(last)).withColumn("_bin", F.floor(F.col(first) / BIN))
+    held = at.join(_bins(outer, "_first", "_last"), [*keys, "_bin"]).where(F.expr(f"_first <= {first} and _last >= {last} and _id <> {id_} and (_last - _first > {last} - {first} or _id < {id_})"))
+    best = held.groupBy(*keys, id_).agg(F.min_by("_id", F.struct(F.col("_last") - F.col("_first"), -F.col("_id"))).alias("inside"))
+    return spans.join(best, [*keys, id_], "left")

@@ -493,6 +493,26 @@ def affected_files(spark, d):
     return N.affected(references(spark, d), _KEY, declared(spark, d).where("visibility = 0"))
 
 
+@query(f"WITH {_D}, j AS (SELECT a.repo, a.path, a.idx, b.idx AS inside, row_number() OVER (PARTITION BY a.repo, a.path, a.idx ORDER BY b.end_line - b.line, b.idx DESC) AS r FROM d a JOIN d b ON a.repo = b.repo AND a.path = b.path AND b.idx <> a.idx AND b.line <= a.line AND b.end_line >= a.end_line AND a.line <= a.end_line AND (b.end_line - b.line > a.end_line - a.line OR b.idx < a.idx)) SELECT d.repo, d.path, d.idx, j.inside FROM d LEFT JOIN j ON j.repo = d.repo AND j.path = d.path AND j.idx = d.idx AND r = 1")
+def nesting_by_lines(spark, d):
+    """The declaration around each declaration, by lines alone."""
+    return P.nest(declared(spark, d).select(*_KEY, "idx", "line", "end_line"), _KEY, "idx", "line", "end_line").select(*_KEY, "idx", "inside")
+
+
+@query(f"WITH {_REF}, {_D}, b AS (SELECT repo, path, name, idx, line AS first, end_line AS last FROM d), j AS (SELECT r.repo, r.path, r.name, r.line, b.idx, row_number() OVER (PARTITION BY r.repo, r.path, r.name, r.line ORDER BY b.last - b.first, b.idx DESC) AS k FROM (SELECT DISTINCT repo, path, name, line FROM ref) r JOIN b ON b.repo = r.repo AND b.path = r.path AND b.name = r.name AND r.line BETWEEN b.first AND b.last) SELECT repo, path, name, line, idx FROM j WHERE k = 1")
+def bindings_in_force(spark, d):
+    """The innermost block that binds a name where it is used."""
+    uses = references(spark, d).select(*_KEY, "name", "line").distinct()
+    blocks = declared(spark, d).select(*_KEY, "name", "idx", F.col("line").alias("first"), F.col("end_line").alias("last"))
+    return P.innermost(uses, blocks, [*_KEY, "name"], "line", "first", "last", "idx", [*_KEY, "name", "line"]).select(*_KEY, "name", "line", "idx")
+
+
+@query("SELECT repo, count(*) AS entries, sum(octet_length(encode(content))) AS bytes FROM (SELECT DISTINCT repo, path, content FROM files) GROUP BY repo")
+def stored_sizes(spark, d):
+    f = table(spark, d, "files").select("repo", "path", "content").distinct()
+    return f.groupBy("repo").agg(F.count("*").alias("entries"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
 @query()
 def python_functions(spark, d):
     """Functions of the Python files with their complexity, by parsing."""

@@ -231,3 +231,25 @@ def test_streamed_offers(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert values(spark.table("offered"), "k", "t", "offer") == {("k", 1, "New"), ("k", 2, "Same"), ("k", 3, "Changed"), ("j", 1, "New")}
+
+
+def test_documents(spark):
+    text = "---\npaths:\n  - 'src/**'\n  - lib/*.py\ntitle: x\n---\nSee @docs/a.md and `@not/this`.\n```\n@nor/this\n```\n<!-- @nor/that -->\n@../b.md me@mail.org"
+    df = spark.createDataFrame([(1, text), (2, "---\npaths: a, \"b\"\n---\nx"), (3, "plain"), (4, None)], "id int, t string")
+    got = {r.id: (r.g, r.m) for r in df.select("id", D.front_globs(F.col("t")).alias("g"), D.mentions(F.col("t")).alias("m")).collect()}
+    assert got == {1: (["src/**", "lib/*.py"], ["docs/a.md", "../b.md"]), 2: (["a", "b"], []), 3: ([], []), 4: (None, None)}
+    assert df.where("id = 2").select(D.body(F.col("t"))).first()[0] == "x"
+    links = spark.createDataFrame([(f"d{i}", f"d{i + 1}") for i in range(8)] + [("d2", "d0")], "source string, target string")
+    start = spark.createDataFrame([("d0",)], "n string")
+    assert values(D.includes(links, start), "node", "step") == {("d1", 1), ("d2", 2), ("d3", 3), ("d4", 4)}
+
+
+def test_branches_and_budget(spark):
+    refs = spark.createDataFrame([("origin/main", "2024-01-01"), ("main", "2023-01-01"), ("origin/dev", "2024-06-20"), ("feature/x", "2024-06-30"), ("old", "2024-01-02")], "name string, date string").withColumn("date", F.to_date("date"))
+    assert [r.branch for r in H.branches(refs, "main", "2024-07-01").collect()] == ["main", "dev"]
+    assert H.greedy([("a", 5), ("b", 9), ("c", 4)], 10) == [("a", 5), ("c", 4)]
+
+
+def test_nest(spark):
+    df = spark.createDataFrame([("f", 0, 1, 200), ("f", 1, 2, 150), ("f", 2, 2, 150), ("f", 3, 70, 80), ("f", 4, 300, 301), ("f", 5, 9, 8)], "k string, idx int, line int, end_line int")
+    assert {r.idx: r.inside for r in P.nest(df, ["k"], "idx", "line", "end_line").collect()} == {0: None, 1: 0, 2: 1, 3: 2, 4: None, 5: None}
