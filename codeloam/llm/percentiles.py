@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 DELTA = 400
 #: Rows that one clustering window holds at most, about; larger groups are digested in parts first.
 PART_ROWS = 200_000
+#: Digests that are merged at once.
+MERGED = 256
 
 
 def _cluster(weighted: DataFrame, keys: list[str], delta: int) -> DataFrame:
@@ -41,9 +43,12 @@ def digest(df: DataFrame, keys: list[str], value: str, delta: int = DELTA, part_
     v = F.col(f"`{value}`").cast("double")
     counted = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("mean")).agg(F.count("*").cast("double").alias("weight"))
     counted = counted.withColumn("low", F.col("mean")).withColumn("high", F.col("mean"))
-    # by value hash and row number block: parts of bounded size whatever the group holds
-    parts = counted.withColumn("_part", F.pmod(F.xxhash64("mean"), F.lit(_parts(counted, keys, part_rows))).cast("int"))
-    return merge(_cluster(parts, [*keys, "_part"], delta).drop("_part"), keys, delta)
+    n = _parts(counted, keys, part_rows)
+    parts = _cluster(counted.withColumn("_part", F.pmod(F.xxhash64("mean"), F.lit(n)).cast("long")), [*keys, "_part"], delta)
+    while n > MERGED:  # parts are merged in rounds, so that no task holds the digests of very many
+        n = -(-n // MERGED)
+        parts = _cluster(parts.withColumn("_part", F.floor(F.col("_part") / MERGED)), [*keys, "_part"], delta)
+    return merge(parts.drop("_part"), keys, delta)
 
 
 def _parts(counted: DataFrame, keys: list[str], part_rows: int) -> int:

@@ -37,6 +37,16 @@ def test_digests_of_parts_merge(spark):
     assert e.n == 20_000 and max(e.median_error, e.p90_error, e.p999_error) <= 0.006
 
 
+def test_many_parts_merge_in_rounds(spark, monkeypatch):
+    from codeloam.llm import percentiles
+
+    monkeypatch.setattr(percentiles, "MERGED", 3)
+    df = spark.range(9000).selectExpr("'a' as g", "cast(id as double) as v")
+    d = digest(df, ["g"], "v", part_rows=500)
+    e = certified(df, ["g"], "v", quantiles(d, ["g"], ranks()), ranks()).first()
+    assert e.n == 9000 and max(e.median_error, e.p90_error, e.p999_error) <= 0.006
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "g string, v int")
     assert quantiles(digest(df, ["g"], "v"), ["g"], ranks()).count() == 0
