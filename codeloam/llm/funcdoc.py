@@ -52,15 +52,18 @@ _MARK = re.compile(r"^\s*(?:/\*+!?|\*+/|\*(?!\*)|//+!?|#+(?!\[)|--+)?\s*")
 _TODO = re.compile(r"(?:@?\b(?:todo|fixme|xxx|tbd|hack|wip)\b)", re.I)
 #: How comments address tools instead of readers.
 _TOOL = re.compile(
-    r"^(?:eslint|tslint|jshint|jslint|jscs|prettier|istanbul|c8 ignore|v8 ignore|rubocop|standard:|reek|noinspection|pylint|noqa|flake8|isort|mypy|pyright|ruff|fmt:|yapf|type:\s*ignore|pragma|nosonar|nosec|nolint|golint|go:|\+build|lint:|"
-    r"clippy|rustfmt|phpcs|phpstan|psalm|phan|checkstyle|suppress|spotless|codecov|coverage|sourcery|sonar|ts-|deno-|biome|stylelint|webpack|shellcheck|language=|vim:|frozen_string_literal|encoding:|region\b|endregion\b|#?(?:region|endregion|pragma))",
+    r"^(?:eslint\b|tslint:|jshint\b|jslint\b|jscs:|prettier-|istanbul ignore|c8 ignore|v8 ignore|rubocop:|standard:|reek:|noinspection\b|pylint:|noqa\b|flake8[:-]|isort:|mypy:|pyright:|ruff:|fmt:|yapf:|type:\s*ignore|pragma\b|nosonar|nosec\b|nolint|golint|go:\w|\+build|lint:|"
+    r"clippy::|rustfmt\b|phpcs:|phpstan|psalm-|phan-|checkstyle[:.]|suppress(?:warnings)?[:(]|spotless:|codecov|coverage:|sonar|ts-(?:ignore|expect|check|nocheck)|deno-|biome-|stylelint-|webpack[A-Z]|shellcheck \w+=|language=|vim:|frozen_string_literal:|encoding:|endregion\b)",
     re.I,
 )
+_REGION = re.compile(r"^\s*(?:[/*]+\s*)?#(?:end)?region\b")
 _INHERIT = re.compile(r"\{?@?\b(?:inheritdoc|inherit-?docs?|inherited)\b\}?", re.I)
 _CODE = re.compile(
-    r"[;{}]\s*$"
+    r"[{}]\s*$|^\w+;\s*$|^(?=.*[()=\[\]$])[^.]*;\s*$"
     r"|^[$@]?[\w.\[\]>-]+(?:\s*,\s*[$\w.]+)*\s*(?::=|[-+*/|&]?=)(?!=)\s*\S"
-    r"|^(?:const|let|var|val|auto|final|int|string|bool|return|if|for|foreach|while|else|elif|def|fn|func|function|import|from|use|require|raise|throw|yield|await|end)\b[^.]*[(={\[$;][^.]*$"
+    r"|^(?:if|for|foreach|while|switch|else if|elif)\s*\(.*\)\s*[{:;]?\s*$"
+    r"|^(?:return|raise|throw|yield|await)\s+[\w$.]+(?:\(.*\)\s*;?|;)\s*$"
+    r"|^(?:const|let|var|val|auto|final|int|string|bool|def|fn|func|function|import|use|require|from)\s+\S+\s*(?:=|\(|;|\{|import\b)"
     r"|^[$\w]+(?:(?:\.|->|::)[\w$]+)*\([^)]*\)\s*;?\s*$"
 )
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -85,7 +88,7 @@ def prose_words(lines: list[str], name: str) -> list[str]:
         if _TODO.match(line):
             note = True
             continue
-        if note or _TOOL.match(line):
+        if note or _TOOL.match(line) or _REGION.match(raw):
             continue
         line = _INHERIT.sub(" ", line)
         if _CODE.search(line):

@@ -78,9 +78,11 @@ def test_comment_in_a_string_is_no_comment():
 
 
 def test_what_is_no_prose():
-    none = ["TODO: write this down for the next release", "@param x the first of all values", ":param x: the first of all values", "eslint-disable-next-line no-unused-vars, no-shadow", "{@inheritDoc}", "x = call_something(y, z)", "return foo(bar);", "-----", "TBD", "noinspection PhpUnused", "rubocop:disable Metrics/AbcSize, Style/Documentation"]
+    none = ["TODO: write this down for the next release", "@param x the first of all values", ":param x: the first of all values", "eslint-disable-next-line no-unused-vars, no-shadow", "{@inheritDoc}", "x = call_something(y, z)", "return foo(bar);", "-----", "TBD", "noinspection PhpUnused", "rubocop:disable Metrics/AbcSize, Style/Documentation", "if (a > b) {", "for (x in xs)", "let x = 1", "from a import b", "a.b(c, d)", "#region helpers of the whole class"]
     for line in none:
         assert prose_words([f"// {line}"], "f") == [], line
+    for line in ["region may wrap at most one engine", "if the locale is unknown; beyond that it waits", "Please verify the wrapper first;", "coverage of the file is kept", "for all values (at most ten) it waits"]:
+        assert len(prose_words([f"// {line}"], "f")) >= 4, line
     assert len(prose_words(["/** Open the stream. */"], "openStream")) == 1
     assert len(prose_words(["// todo(me): describe", "// and go on here", "//", "// Real prose comes after that."], "f")) == 5
 
