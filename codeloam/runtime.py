@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -104,3 +106,19 @@ def whole_groups(keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBat
             yield from fn(pa.concat_tables(held).combine_chunks())
 
     return run
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once per context, so that it need not be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_codeloam_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="codeloam-ship-")  # read by the driver alone, which serves it
+    atexit.register(shutil.rmtree, folder, True)
+    archive = f"{folder}/codeloam_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"codeloam/{p.relative_to(root)}")
+    context.addPyFile(archive)
+    context._codeloam_shipped = True
