@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import changed, pinned
@@ -69,21 +68,22 @@ def _swept(df: DataFrame, keys: list[str], start: str, end: str, step: int) -> D
         .distinct()
     )
     order = [*(F.col(f"`{k}`") for k in keys), "_start", "_end"]
-    rows = pinned(rows.repartitionByRange(*order).sortWithinPartitions(*order))
+    # the number of its partition goes with each row: a task's own number is another one below a union
+    rows = pinned(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     kinds = {f.name: f for f in rows.schema.fields}
     key_ddl = ", ".join(f"`{k}` {kinds[k].dataType.simpleString()}" for k in keys)
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, first, single, schema = _Carry(), None, True, None
+        state, first, single, schema, part = _Carry(), None, True, None, -1
         for batch in batches:
             if batch.num_rows:
-                table, schema = pa.Table.from_batches([batch]), batch.schema
+                table, schema, part = pa.Table.from_batches([batch]), batch.schema, batch.column("_part")[0].as_py()
                 first = _key(table, keys, 0) if first is None else first
                 state.scan(table, keys, step)
                 single = single and state.key == first
         if first is not None:
             arrays = [pa.array([v], schema.field(k).type) for k, v in zip(keys, state.key)]
-            arrays += [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([state.end], pa.int64()), pa.array([state.island], pa.int64()), pa.array([single])]
+            arrays += [pa.array([part], pa.int32()), pa.array([state.end], pa.int64()), pa.array([state.island], pa.int64()), pa.array([single])]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "_part", "_end", "_island", "_single"])
 
     carries: dict[int, tuple] = {}
@@ -98,11 +98,13 @@ def _swept(df: DataFrame, keys: list[str], start: str, end: str, step: int) -> D
         last = (key, top, island)
 
     def rescan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = _Carry(*carries.get(TaskContext.get().partitionId(), ()))
+        state = None
         for batch in batches:
             if batch.num_rows:
+                state = state or _Carry(*carries.get(batch.column("_part")[0].as_py(), ()))
                 island, before, has = state.scan(pa.Table.from_batches([batch]), keys, step)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(island), pa.array(before, mask=~has)], names=[*batch.schema.names, "_island", "_prior"])
+                columns = [batch.column(c) for c in (*keys, "_start", "_end")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(island), pa.array(before, mask=~has)], names=[*keys, "_start", "_end", "_island", "_prior"])
 
     return rows.mapInArrow(rescan, f"{key_ddl}, _start long, _end long, _island long, _prior long")
 

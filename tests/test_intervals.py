@@ -40,6 +40,21 @@ def test_one_entity_over_many_partitions(spark):
     assert {tuple(r) for r in gaps(df, ["who"], "s", "e").collect()} == holes
 
 
+def test_below_a_union_and_over_many_small_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else few rows end in one partition
+    try:
+        rows = [(w, 10 * i, 10 * i + 5) for i in range(300) for w in "ab"]  # a gap wherever a partition ends
+        df = spark.createDataFrame(rows, "who string, s int, e int")
+        merged, holes = brute(rows)
+        g = gaps(df, ["who"], "s", "e")
+        got = [tuple(r) for r in spark.range(5).selectExpr("'x' as who", "id as gap_start", "id as gap_end").unionByName(g).unionByName(g).where("who <> 'x'").collect()]
+        assert sorted(got) == sorted([*holes, *holes])
+        assert {tuple(r) for r in g.coalesce(1).collect()} == holes
+        assert {tuple(r) for r in periods(df, ["who"], "s", "e").select("who", "period_start", "period_end").collect()} == merged
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_touching_and_steps(spark):
     df = spark.createDataFrame([("a", 1, 2), ("a", 3, 4), ("a", 6, 6)], "who string, s int, e int")
     ends = lambda step: {(r.period_start, r.period_end) for r in periods(df, ["who"], "s", "e", step).collect()}
