@@ -3,8 +3,9 @@
 Latent semantic retrieval: passages of the items and of the documents are vectors of TF-IDF weights over the items'
 three-word terms, with document frequencies counted over the whole corpus; a randomised SVD over the items' passages,
 computed in distributed products, gives the latent space; document passages near an item's passage by cosine are
-candidates; and an alignment of the two word sequences decides. Items are the query set, held in blocks of bounded size,
-and run against all documents.
+candidates; and an alignment of the two word sequences decides. No leak hangs on weights or cosine: whatever shares six
+words in a row with an item is aligned as well, and every leak does. Items are the query set, held in blocks of bounded
+size, and run against all documents.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from ..runtime import stored
 WINDOW, DOC_STEP, ITEM_STEP = 24, 8, 4
 #: Dimensions of the latent space, power iterations of its computation, and the least cosine of a candidate.
 DIMENSIONS, ITERATIONS, COSINE = 96, 2, 0.45
+#: Equal words in a row that every leak has, and the most words between the first and the last start of such runs that are aligned at once.
+SEED, SPAN = 6, 512
+#: Words of a document that are compared with the items' runs at once.
+PIECE = 8192
 #: Items that are held in memory at once; more are taken in blocks, each against all documents.
 BLOCK_ITEMS = 2_000
 
@@ -49,6 +54,21 @@ def own_passage(text: str) -> str:
     return parts[1] if len(parts) == 2 and parts[1].strip() else parts[0]
 
 
+def _holders(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different codes, where the holders of each begin (and the end), and the holders: numbers of the lists that have the code."""
+    flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+    pairs = np.unique(np.stack([flat, np.repeat(np.arange(len(codes)), [len(c) for c in codes])]), axis=1)
+    different, first = np.unique(pairs[0], return_index=True)
+    return different, np.r_[first, pairs.shape[1]], pairs[1]
+
+
+def _expanded(places: np.ndarray, codes: np.ndarray, first: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, holder) for each holder of the code at each place."""
+    n = first[codes + 1] - first[codes]
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(places, n), holders[np.repeat(first[codes], n) + within]
+
+
 class Items:
     """A block of items: word numbers, three-word terms and passages. Sent to the workers; bounded by BLOCK_ITEMS."""
 
@@ -71,6 +91,43 @@ class Items:
                 passages.append(t[a : a + WINDOW - 2])
                 owner.append(i)
         self.passages, self.owner = passages, np.array(owner, np.int64)
+        numbers = [np.searchsorted(self.terms, g) for g in grams]
+        # each run of SEED words and each term once, where its holders begin, and the items that hold it
+        self.runs, self.run_first, self.run_holders = _holders([self.run_codes(t) for t in numbers])
+        _, self.term_first, self.term_holders = _holders(numbers)
+
+    def run_codes(self, t: np.ndarray) -> np.ndarray:
+        """Codes of SEED words in a row (two terms, the second after the first), -1 where one of the terms is in no item."""
+        a, b = t[:-3].astype(np.int64), t[3:].astype(np.int64)
+        return np.where((a < 0) | (b < 0), -1, a * len(self.terms) + b)
+
+    def shared_runs(self, t: np.ndarray, need: int, around: int) -> dict[int, list[int]]:
+        """By item, where in a document of these terms runs of SEED words start that the item has too, in order.
+
+        Left out are runs with fewer than `need` terms of the item within `around` words on both sides.
+        """
+        out: dict[int, list[int]] = {}
+        if (t >= 0).sum() < need:
+            return out
+        codes = self.run_codes(t)
+        for lo in range(0, len(codes), PIECE):
+            at = lo + np.flatnonzero(codes[lo : lo + PIECE] >= 0)
+            k = np.minimum(np.searchsorted(self.runs, codes[at]), len(self.runs) - 1)
+            same = self.runs[k] == codes[at]
+            starts, items = _expanded(at[same], k[same], self.run_first, self.run_holders)
+            if not len(starts):
+                continue
+            a = max(0, lo - around)
+            piece = t[a : lo + PIECE + SEED + around]
+            there = np.flatnonzero(piece >= 0)
+            where, whose = _expanded(a + there, piece[there], self.term_first, self.term_holders)
+            size = len(t) + 2 * (SEED + around)  # no reach ends in the next item
+            places = np.sort(whose * size + where + around)
+            low = items * size + starts
+            enough = np.searchsorted(places, low + 2 * around + SEED) - np.searchsorted(places, low) >= need
+            for p, item in zip(starts[enough].tolist(), items[enough].tolist()):
+                out.setdefault(item, []).append(p)
+        return out
 
     def _grams(self, s: np.ndarray) -> np.ndarray:
         """Codes of three words in a row, -1 where one of them is in no item. Up to 2^21 different words."""
@@ -87,7 +144,7 @@ class Items:
         return np.where(self.terms[at] == g, at, -1)
 
 
-def aligned(item: np.ndarray, doc: np.ndarray, least: int, per_edit: int, seed: int = 6) -> bool:
+def aligned(item: np.ndarray, doc: np.ndarray, least: int, per_edit: int, seed: int = SEED) -> bool:
     """Does doc hold at least `least` words of item in a row with at most one in per_edit changed, dropped or added?
 
     Grows runs of equal words to both sides, each time as far as a number of edits allows. Any stretch of 25 words with
@@ -140,6 +197,17 @@ def _reach(a: list[int], b: list[int], i: int, j: int, step: int, most: int) ->
     return out
 
 
+def _stretches(runs: list[int], around: int) -> Iterator[tuple[int, int]]:
+    """Bounds of the words to align so that each run of SEED words has `around` words on both sides; runs of up to SPAN words apart share one."""
+    a = last = runs[0]
+    for p in runs[1:]:
+        if p - last > 2 * around or p - a > SPAN:
+            yield max(0, a - around), last + SEED + around
+            a = p
+        last = p
+    yield max(0, a - around), last + SEED + around
+
+
 def _basis(spark, items: Items, idf: np.ndarray, dimensions: int, iterations: int, seed: int = 7) -> np.ndarray:
     """Term vectors of the latent space: the leading right singular vectors of the items' passages, by randomised SVD.
 
@@ -186,7 +254,10 @@ def leaks(documents: DataFrame, items: DataFrame, id_: str = "doc_id", text: str
     Null and empty texts and items shorter than `least` words match nothing; repeated documents and items with equal
     passages all count; texts are read whole; other columns are ignored; empty tables give no rows. The cosine is that of
     the latent vectors times the share of the passage's norm that lies in terms of the items: a term that no item has adds
-    nothing to any product. A passage whose share is below the wanted cosine is therefore no candidate.
+    nothing to any product. A passage whose share is below the wanted cosine is therefore no candidate by cosine; where
+    terms are frequent in the documents, that would lose leaks, so passages are also aligned wherever SEED words in a row
+    are those of an item. At most one edit in eight words leaves such a run in every stretch of 25 words or more, and
+    beside it so many unbroken terms (14 for 25 words) that runs without them need no alignment.
     """
     spark = documents.sparkSession
     wanted = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
@@ -206,6 +277,8 @@ def _block(spark, documents: DataFrame, items: Items, least: int, per_edit: int,
     if not items.ids:
         return spark.createDataFrame([], "doc_id long, item_id long")
     known = spark.sparkContext.broadcast(items)
+    # an edit breaks three terms at most, and a longer stretch has a part of these lengths with no more edits for its size
+    need = max(1, min(n - 2 - 3 * (n // per_edit) for n in range(least, 2 * least)))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts as word numbers, -1 for words in no item; a document without any term of the items ends here."""
@@ -277,6 +350,10 @@ def _block(spark, documents: DataFrame, items: Items, least: int, per_edit: int,
                     s = sequences[k][max(0, a - 2 * least) : a + WINDOW + 2 * least]
                     if aligned(block.sequences[item], s, least, per_edit):
                         found.add((k, item))
+            for k, s in enumerate(sequences):
+                for item, runs in block.shared_runs(block.term_numbers(s), need, 2 * least).items():
+                    if (k, item) not in found and any(aligned(block.sequences[item], s[a:b], least, per_edit) for a, b in _stretches(runs, 2 * least)):
+                        found.add((k, item))
             ids = batch.column(0).to_pylist()
             rows = [(ids[k], i) for k, item in found for i in block.ids[item]]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=["doc_id", "item_id"])

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from codeloam.llm.leakage import aligned, leaks, own_passage, words
+from codeloam.llm.leakage import SPAN, _stretches, aligned, leaks, own_passage, words
 
 V = [f"w{i}x" for i in range(400)]
 
@@ -72,3 +72,33 @@ def test_leaks(spark):
     assert {tuple(x) for x in leaks(df, it).collect()} == want
     assert {tuple(x) for x in leaks(df, it, block_items=5).collect()} == want
     assert leaks(df.limit(0), it).count() == 0 == leaks(df, it.limit(0)).count()
+
+
+@pytest.mark.parametrize("copies", [1, 100])
+def test_edited_leaks_in_a_third_of_the_documents(spark, copies):
+    r = random.Random(3)
+    text = lambda n: " ".join(r.choice(V) for _ in range(n))
+    passages = [text(60) for _ in range(4)]
+    items = [(i, f"Read this.\n\n{p}") for i, p in enumerate(passages)]
+    docs, want = [(i, text(120)) for i in range(300 - copies)], set()
+    for k in range(copies):
+        w = passages[0].split()
+        short, long = w[20:45], w[:]
+        short[3], short[12], short[20] = "zzz", "yyy", "xxx"
+        long[4::8] = ["zzz"] * len(long[4::8])
+        near = w[:]
+        near[4::6] = ["zzz"] * len(near[4::6])
+        # a part of another item beside it draws the vector of the passage away
+        docs += [(1000 + k, f"{text(30)} {' '.join(short)} {text(30)}"), (2000 + k, " ".join(passages[1].split()[:12] + short + passages[2].split()[:12])), (3000 + k, " ".join(long[:57])), (4000 + k, " ".join(near))]
+        want |= {(1000 + k, 0), (2000 + k, 0), (3000 + k, 0)}
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(x) for x in got.collect()} == want
+
+
+def test_stretches_hold_every_run_with_its_surroundings():
+    r = random.Random(1)
+    for _ in range(50):
+        runs = sorted(r.sample(range(5000), r.randrange(1, 400)))
+        cut = list(_stretches(runs, 50))
+        assert all(any(a <= max(0, p - 50) and p + 56 <= b for a, b in cut) for p in runs)
+        assert max(b - a for a, b in cut) <= SPAN + 106
