@@ -3,7 +3,7 @@
 Links are resolved by joins. A scope (a file, say) holds whole components, so scopes of bounded size are co-located as
 they are; the components of larger scopes are first found by pointer doubling, and then co-located one by one. Each
 component goes through an iterative depth-first traversal with node colouring. Components above the bound are never put
-into one task: their rows take root, depth and path from the doubled pointers.
+into one task: their rows take root, depth, path, order and loop members from the doubled pointers.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import changed, pinned, whole_groups
 
@@ -89,10 +89,10 @@ def _traverse(ids: list, parents: list, names: list) -> tuple[list, ...]:
     path: list = [None] * n
     chain: list = [None] * n
     status, cycle = ["below_loop"] * n, [None] * n
-    clock = 0
     for r in range(n):
         if up[r] >= 0:
             continue
+        clock = 0
         stack = [(r, 0)]
         root[r], depth[r], path[r], status[r], enter[r] = r, 0, [names[r] or ""], "root", clock
         chain[r] = [ids[r]]
@@ -133,8 +133,9 @@ def hierarchy(nodes: DataFrame, scope: list[str], id_: str, parent: str, name: s
 
     status: root, node, loop (on a cycle; `cycle` lists its ids) or below_loop; of the last two, root_id and depth are -1
     and names is null. Rows that share (scope, root_id) are a tree; the descendants of a row are those of its tree whose
-    enter lies within (enter, leave]. path_ids are the ids from the row up to its root; descendants() turns them round. In
-    components above max_rows, enter, leave and cycle are null. Links: resolve_links().
+    enter lies within (enter, leave]; the root's enter is 0. path_ids are the ids from the row up to its root; descendants()
+    turns them round. Components above max_rows give the same. Each row of a loop lists all of it, so the size of the result
+    is the square of the loop's. Links: resolve_links().
     No rows give no rows; columns other than those named are ignored.
     """
     links = pinned(resolve_links(nodes, scope, id_, parent, name, container).repartition(*scope, "_id"))
@@ -171,17 +172,26 @@ def hierarchy(nodes: DataFrame, scope: list[str], id_: str, parent: str, name: s
 def _from_pointers(comp: DataFrame, scope: list[str]) -> DataFrame:
     """The rows of hierarchy() for components above the bound. A component holds either one root or one loop."""
     trees = pinned(pointer_jump(comp.where("not _loop").select(*scope, "_id", "_name", "_parent"), scope, True))
-    counts = trees.select(*scope, F.expr("explode(slice(_anc, 2, size(_anc))) as _cid")).groupBy(*scope, "_cid").agg(F.count("*").alias("_n"))
-    tree = _beside(trees, counts, scope, "_id = _cid", "left").selectExpr(
-        *(f"`{k}`" for k in scope), "_id as id", "_parent as parent_id", "_root as root_id", "cast(_depth as int) as depth", "reverse(_names) as names", "coalesce(_n, 0L) as n_descendants",
-        "cast(null as long) as enter", "cast(null as long) as leave", "if(_parent is null, 'root', 'node') as status", "cast(null as array<long>) as cycle", "_anc as path_ids",
+    on_path = trees.select(*scope, "_id", F.explode("_anc").alias("_cid"))
+    sizes = on_path.groupBy(*scope, F.col("_cid").alias("_sid")).agg(F.count("*").alias("_n"))
+    sized = pinned(_beside(trees.select(*scope, "_id", "_parent"), sizes, scope, "_id = _sid").select(*scope, "_id", "_parent", "_n"))
+    # a row is entered after its parent and all below the siblings with lesser ids
+    elder = Window.partitionBy(*scope, "_parent").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    steps = sized.where("_parent is not null").select(*scope, F.col("_id").alias("_kid"), (1 + F.coalesce(F.sum("_n").over(elder), F.lit(0))).alias("_step"))
+    entered = _beside(on_path, steps, scope, "_cid = _kid").groupBy(*scope, F.col("_id").alias("_eid")).agg(F.sum("_step").alias("_enter"))
+    ordered = _beside(sized, entered, scope, "_id = _eid", "left").select(*scope, F.col("_id").alias("_oid"), (F.col("_n") - 1).alias("_n"), F.coalesce("_enter", F.lit(0)).alias("_enter"))
+    tree = _beside(trees, ordered, scope, "_id = _oid").selectExpr(
+        *(f"`{k}`" for k in scope), "_id as id", "_parent as parent_id", "_root as root_id", "cast(_depth as int) as depth", "reverse(_names) as names", "_n as n_descendants",
+        "_enter as enter", "_enter + _n as leave", "if(_parent is null, 'root', 'node') as status", "cast(null as array<long>) as cycle", "_anc as path_ids",
     )
     loops = comp.where("_loop")
     # after as many steps as there are rows every pointer is on the loop, and each row of the loop is pointed at
-    ring = loops.select(*scope, F.col("_ptr").alias("_cid")).distinct()
-    looped = _beside(loops, ring, scope, "_id = _cid", "left").selectExpr(
+    ring = loops.select(*scope, "_label", F.col("_ptr").alias("_cid")).distinct()
+    members = ring.groupBy(*scope, F.col("_label").alias("_mlabel")).agg(F.sort_array(F.collect_list("_cid")).alias("_members"))
+    ringed = _beside(ring, members, scope, "_label = _mlabel").select(*scope, "_cid", "_members")
+    looped = _beside(loops, ringed, scope, "_id = _cid", "left").selectExpr(
         *(f"`{k}`" for k in scope), "_id as id", "_parent as parent_id", "-1L as root_id", "-1 as depth", "cast(null as array<string>) as names", "0L as n_descendants",
-        "cast(null as long) as enter", "cast(null as long) as leave", "if(_cid is not null, 'loop', 'below_loop') as status", "cast(null as array<long>) as cycle", "cast(null as array<long>) as path_ids",
+        "-1L as enter", "-1L as leave", "if(_cid is not null, 'loop', 'below_loop') as status", "_members as cycle", "cast(null as array<long>) as path_ids",
     )
     return tree.unionByName(looped)
 

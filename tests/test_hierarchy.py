@@ -92,3 +92,19 @@ def test_empty_and_nulls(spark):
     assert hierarchy(empty, ["f"], "idx", "parent", "name", "container").count() == 0
     df = spark.createDataFrame([("a", None, 1, "x", None, 0, ""), ("a", 1, 1, None, None, 0, ""), ("a", 2, 7, None, "gone", 0, "")], _DDL)
     assert {(r.id, r.status) for r in hierarchy(df, ["f"], "idx", "parent", "name", "container").collect()} == {(1, "loop"), (2, "root")}
+
+
+@pytest.mark.parametrize("seed", [12, 3])
+def test_size_of_components_does_not_change_results(spark, seed):
+    rows = random_rows(seed) + [("loop", i, (i + 1) % 3 if i < 3 else i - 3, f"n{i}", None) for i in range(30)]
+    df = spark.createDataFrame([(*r, 9, "x") for r in rows], _DDL)
+    whole, *cut = ({(r.f, r.id): r for r in hierarchy(df, ["f"], "idx", "parent", "name", "container", most).collect()} for most in (200_000, 12, 3))
+    out, _, _ = brute(rows)
+    up = {k: r.parent_id for k, r in whole.items()}
+    for got in (whole, *cut):
+        for k, r in got.items():
+            loop = [k[1]]
+            while out[k][2] == "loop" and up[k[0], loop[-1]] != k[1]:
+                loop.append(up[k[0], loop[-1]])
+            assert r.cycle == (sorted(loop) if out[k][2] == "loop" else None)
+    assert cut == [whole, whole]
