@@ -1,9 +1,10 @@
 """Parent-child links to full hierarchies.
 
-Links are resolved by joins. A scope (a file, say) holds whole components, so scopes of bounded size are co-located as
-they are; the components of larger scopes are first found by pointer doubling, and then co-located one by one. Each
-component goes through an iterative depth-first traversal with node colouring. Components above the bound are never put
-into one task: their rows take root, depth, path, order and loop members from the doubled pointers.
+A scope (a file, say) holds whole components, so scopes of bounded size are co-located as they are, by one shuffle, and
+their links are resolved where they lie. The links of larger scopes are resolved by joins, their components found by
+pointer doubling and then co-located one by one. Each component goes through an iterative depth-first traversal with node
+colouring. Components above the bound are never put into one task: their rows take root, depth, path, order and loop
+members from the doubled pointers.
 """
 
 from __future__ import annotations
@@ -61,7 +62,8 @@ def pointer_jump(links: DataFrame, scope: list[str], paths: bool = False) -> Dat
         *([F.expr("array(_id)").alias("_anc"), F.expr("array(coalesce(_name, ''))").alias("_names")] if paths else []),
     )
     state = pinned(first)
-    rows, step = state.count(), 1
+    # no way is longer than its scope has rows
+    rows, step = state.groupBy(*scope).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0, 1
     carried = ["_ptr", "_depth", "_done", "_label", *(["_anc", "_names"] if paths else [])]
     while state.where("not _done").limit(1).count() and step <= 2 * rows:
         up = state.select(*scope, F.col("_id").alias("_uid"), *[F.col(c).alias(f"_u{c}") for c in carried])
@@ -76,7 +78,18 @@ def pointer_jump(links: DataFrame, scope: list[str], paths: bool = False) -> Dat
     return out.select(*scope, "_id", "_name", "_parent", "_ptr", *ends, *(["_anc", "_names"] if paths else []))
 
 
-def _traverse(ids: list, parents: list, names: list) -> tuple[list, ...]:
+def _resolved(ids: list, parents: list, names: list, containers: list) -> list:
+    """The parent of each row of one scope, as resolve_links() finds it. The ids are in order and differ."""
+    there = set(ids)
+    by_name: dict = {}
+    for i, n in zip(ids, names):
+        if n is not None:
+            by_name.setdefault(n, i)
+    wanted = (by_name.get(c) if p is None and c is not None else p for p, c in zip(parents, containers))
+    return [w if w in there else None for w in wanted]
+
+
+def _traverse(ids: list, parents: list, names: list, wanted: set[str]) -> dict[str, list]:
     """Depth-first over one co-located group. White: not met; grey: on the current walk; black: finished."""
     n = len(ids)
     at = {v: i for i, v in enumerate(ids)}
@@ -85,30 +98,30 @@ def _traverse(ids: list, parents: list, names: list) -> tuple[list, ...]:
     for i in range(n):
         if up[i] >= 0:
             children[up[i]].append(i)
-    root, depth, below, enter, leave = [-1] * n, [-1] * n, [0] * n, [-1] * n, [-1] * n
+    root, depth, enter, leave = [-1] * n, [-1] * n, [-1] * n, [-1] * n
     path: list = [None] * n
     chain: list = [None] * n
     status, cycle = ["below_loop"] * n, [None] * n
+    with_names, with_ids = "names" in wanted, "path_ids" in wanted
     for r in range(n):
         if up[r] >= 0:
             continue
         clock = 0
-        stack = [(r, 0)]
-        root[r], depth[r], path[r], status[r], enter[r] = r, 0, [names[r] or ""], "root", clock
-        chain[r] = [ids[r]]
-        clock += 1
+        stack = [r]
         while stack:
-            i, k = stack.pop()
-            if k < len(children[i]):
-                stack.append((i, k + 1))
-                c = children[i][k]
-                root[c], depth[c], path[c], status[c], enter[c] = r, depth[i] + 1, [*path[i], names[c] or ""], "node", clock
-                chain[c] = [ids[c], *chain[i]]
-                clock += 1
-                stack.append((c, 0))
-            else:
-                leave[i] = clock - 1
-                below[i] = leave[i] - enter[i]
+            i = stack.pop()
+            if i < 0:  # all below ~i is finished
+                leave[~i] = clock - 1
+                continue
+            u = up[i]
+            root[i], depth[i], status[i], enter[i] = r, depth[u] + 1 if u >= 0 else 0, "node" if u >= 0 else "root", clock
+            if with_names:
+                path[i] = [*(path[u] if u >= 0 else ()), names[i] or ""]
+            if with_ids:
+                chain[i] = [ids[i], *(chain[u] if u >= 0 else ())]
+            clock += 1
+            stack.append(~i)
+            stack.extend(reversed(children[i]))
     colour = bytearray(n)  # 0 white, 1 grey, 2 black: follows links upwards among what no root reaches
     for i in range(n):
         if root[i] >= 0 or colour[i]:
@@ -125,48 +138,58 @@ def _traverse(ids: list, parents: list, names: list) -> tuple[list, ...]:
                 status[x], cycle[x] = "loop", members
         for x in walk:
             colour[x] = 2
-    return [ids[r] if r >= 0 else -1 for r in root], depth, path, below, enter, leave, status, cycle, chain
+    return {"root_id": [ids[r] if r >= 0 else -1 for r in root], "depth": depth, "names": path, "n_descendants": [b - a for a, b in zip(enter, leave)], "enter": enter, "leave": leave, "status": status, "cycle": cycle, "path_ids": chain}
+
+
+_TYPES = {"depth": pa.int32(), "names": pa.list_(pa.string()), "status": pa.string(), "cycle": pa.list_(pa.int64()), "path_ids": pa.list_(pa.int64())}
 
 
-def hierarchy(nodes: DataFrame, scope: list[str], id_: str, parent: str, name: str, container: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Per (scope, id): parent_id, root_id, depth, names (root first), n_descendants, enter, leave, status, cycle.
+def hierarchy(nodes: DataFrame, scope: list[str], id_: str, parent: str, name: str, container: str, max_rows: int = MAX_ROWS, columns: list[str] | None = None) -> DataFrame:
+    """Per (scope, id): parent_id, root_id, depth, names (root first), n_descendants, enter, leave, status, cycle, path_ids.
 
     status: root, node, loop (on a cycle; `cycle` lists its ids) or below_loop; of the last two, root_id and depth are -1
     and names is null. Rows that share (scope, root_id) are a tree; the descendants of a row are those of its tree whose
     enter lies within (enter, leave]; the root's enter is 0. path_ids are the ids from the row up to its root; descendants()
     turns them round. Components above max_rows give the same. Each row of a loop lists all of it, so the size of the result
-    is the square of the loop's. Links: resolve_links().
-    No rows give no rows; columns other than those named are ignored.
+    is the square of the loop's. Links: resolve_links(). `columns` restricts the result, and what is not asked for is not
+    built. No rows give no rows; columns other than those named are ignored.
     """
-    links = pinned(resolve_links(nodes, scope, id_, parent, name, container).repartition(*scope, "_id"))
-    large = links.groupBy(*scope).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows).drop("_n")
-    located, jumped = links.withColumn("_comp", F.lit(None).cast("long")), None
+    names_of = [c.split()[0] for c in RESULT.split(", ")]
+    kept = [c for c in names_of if columns is None or c in columns]
+    ddl = ", ".join(c for c in RESULT.split(", ") if c.split()[0] in kept)
+    base = nodes.where(F.col(id_).isNotNull()).select(*scope, F.col(id_).cast("long").alias("_id"), F.col(parent).cast("long").alias("_p"), F.col(container).alias("_c"), F.col(name).alias("_name"))
+    large = base.groupBy(*scope).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows).drop("_n")
+    keys, jumped, small, found = [*scope, "_comp"], None, base, None
     if large.limit(1).count():
-        comp = pinned(pointer_jump(_beside(links, large, scope, "true", "left_semi"), scope))
+        links = pinned(resolve_links(_beside(base, large, scope, "true", "left_semi"), scope, "_id", "_p", "_name", "_c"))
+        comp = pinned(pointer_jump(links, scope))
         over = comp.groupBy(*scope, "_label").agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows).select(*scope, F.col("_label").alias("_big"))
-        local = _beside(comp, over, scope, "_label = _big", "left_anti").select(*scope, "_id", "_name", "_parent", F.col("_label").alias("_comp"))
-        located = _beside(located, large, scope, "true", "left_anti").unionByName(local)
-        jumped = _from_pointers(_beside(comp, over, scope, "_label = _big", "left_semi"), scope)
-    keys = [*scope, "_comp"]
+        found = _beside(comp, over, scope, "_label = _big", "left_anti").select(*scope, "_id", F.col("_parent").alias("_p"), F.lit(None).cast("string").alias("_c"), "_name", F.col("_label").alias("_comp"))
+        small = _beside(base, large, scope, "true", "left_anti")
+        jumped = _from_pointers(_beside(comp, over, scope, "_label = _big", "left_semi"), scope).select(*scope, "id", *kept)
+    # rows of a scope meet by one shuffle; repeated ids fold where they lie
+    folded = small.repartition(*scope).groupBy(*scope, "_id").agg(F.max(F.struct("_p", "_c", "_name")).alias("v"))
+    located = folded.select(*scope, "_id", "v._p", "v._c", "v._name", F.lit(None).cast("long").alias("_comp")).sortWithinPartitions(*scope, "_id")
     kinds = {f.name: f.dataType.simpleString() for f in located.schema.fields}
 
     def traverse(table: pa.Table) -> Iterator[pa.RecordBatch]:
         flags = changed(table, keys)
         cuts = [0, *([i + 1 for i, x in enumerate(flags.to_pylist()) if x] if table.num_rows > 1 else []), table.num_rows]
-        ids, parents, names = (table.column(c).to_pylist() for c in ("_id", "_parent", "_name"))
-        parts: list[list] = [[] for _ in range(9)]
+        ids, parents, names, containers = (table.column(c).to_pylist() for c in ("_id", "_p", "_name", "_c"))
+        parts: dict[str, list] = {c: [] for c in kept}
         for a, b in zip(cuts, cuts[1:]):
-            for into, values in zip(parts, _traverse(ids[a:b], parents[a:b], names[a:b])):
-                into.extend(values)
-        types = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        columns = [*(table.column(k) for k in scope), table.column("_id"), table.column("_parent"), *(pa.array(v, t) for v, t in zip(parts, types))]
-        labels = [*scope, "id", "parent_id", "root_id", "depth", "names", "n_descendants", "enter", "leave", "status", "cycle", "path_ids"]
-        yield from pa.Table.from_arrays(columns, names=labels).to_batches(max_chunksize=10_000)
-
-    key_ddl = ", ".join(f"`{k}` {kinds[k]}" for k in scope)
-    sorted_ = located.repartition(*keys).sortWithinPartitions(*keys, "_id")
-    out = sorted_.mapInArrow(whole_groups(keys, traverse), f"{key_ddl}, id long, {RESULT}")
-    return out if jumped is None else out.unionByName(jumped)
+            up = _resolved(ids[a:b], parents[a:b], names[a:b], containers[a:b])
+            got = {"parent_id": up, **_traverse(ids[a:b], up, names[a:b], set(kept))}
+            for c in kept:
+                parts[c].extend(got[c])
+        arrays = [*(table.column(k) for k in scope), table.column("_id"), *(pa.array(parts[c], _TYPES.get(c, pa.int64())) for c in kept)]
+        yield from pa.Table.from_arrays(arrays, names=[*scope, "id", *kept]).to_batches(max_chunksize=10_000)
+
+    schema = f"{', '.join(f'`{k}` {kinds[k]}' for k in scope)}, id long, {ddl}"
+    out = located.mapInArrow(whole_groups(keys, traverse), schema)
+    if found is not None:
+        out = out.unionByName(found.repartition(*keys).sortWithinPartitions(*keys, "_id").mapInArrow(whole_groups(keys, traverse), schema)).unionByName(jumped)
+    return out
 
 
 def _from_pointers(comp: DataFrame, scope: list[str]) -> DataFrame:

@@ -8,12 +8,13 @@ combined in order on the driver; and a second scan carries each partition's open
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import changed, pinned
+from ..runtime import changed, pinned, stored
 
 
 def _runs(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -39,6 +40,21 @@ def _key(table: pa.Table, keys: list[str], row: int) -> tuple:
     return tuple(table.column(k)[row].as_py() for k in keys)
 
 
+def _partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.Table]]]:
+    """The rows of a task by the partition they were sorted in: its number and its tables. Each part is read to its end before the next."""
+
+    def pieces() -> Iterator[tuple[int, pa.Table]]:
+        for batch in batches:
+            if batch.num_rows:
+                table, parts = pa.Table.from_batches([batch]), batch.column("_part").to_numpy()
+                cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+                for a, b in zip(cuts, cuts[1:]):
+                    yield int(parts[a]), table.slice(a, b - a)
+
+    for part, group in groupby(pieces(), key=lambda x: x[0]):
+        yield part, (t for _, t in group)
+
+
 class _Carry:
     """What is known of the entity above: its key, greatest end and the start of its last island."""
 
@@ -62,27 +78,22 @@ class _Carry:
 
 
 def _swept(df: DataFrame, keys: list[str], start: str, end: str, step: int) -> DataFrame:
-    rows = (
-        df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{start}`").cast("long").alias("_start"), F.col(f"`{end}`").cast("long").alias("_end"))
-        .where("_start <= _end")  # also drops nulls
-        .distinct()
-    )
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{start}`").cast("long").alias("_start"), F.col(f"`{end}`").cast("long").alias("_end")).where("_start <= _end")  # also drops nulls
     order = [*(F.col(f"`{k}`") for k in keys), "_start", "_end"]
-    # the number of its partition goes with each row: a task's own number is another one below a union
-    rows = pinned(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    # equal rows meet in one range, so they fold there without a shuffle of their own; the number of its partition goes
+    # with each row, since a task may read several or another than its own number says
+    rows = pinned(rows.repartitionByRange(*order).distinct().sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     kinds = {f.name: f for f in rows.schema.fields}
     key_ddl = ", ".join(f"`{k}` {kinds[k].dataType.simpleString()}" for k in keys)
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, first, single, schema, part = _Carry(), None, True, None, -1
-        for batch in batches:
-            if batch.num_rows:
-                table, schema, part = pa.Table.from_batches([batch]), batch.schema, batch.column("_part")[0].as_py()
+        for part, tables in _partitions(batches):
+            state, first, single = _Carry(), None, True
+            for table in tables:
                 first = _key(table, keys, 0) if first is None else first
                 state.scan(table, keys, step)
                 single = single and state.key == first
-        if first is not None:
-            arrays = [pa.array([v], schema.field(k).type) for k, v in zip(keys, state.key)]
+            arrays = [pa.array([v], table.schema.field(k).type) for k, v in zip(keys, state.key)]
             arrays += [pa.array([part], pa.int32()), pa.array([state.end], pa.int64()), pa.array([state.island], pa.int64()), pa.array([single])]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "_part", "_end", "_island", "_single"])
 
@@ -98,13 +109,12 @@ def _swept(df: DataFrame, keys: list[str], start: str, end: str, step: int) -> D
         last = (key, top, island)
 
     def rescan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
-        for batch in batches:
-            if batch.num_rows:
-                state = state or _Carry(*carries.get(batch.column("_part")[0].as_py(), ()))
-                island, before, has = state.scan(pa.Table.from_batches([batch]), keys, step)
-                columns = [batch.column(c) for c in (*keys, "_start", "_end")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(island), pa.array(before, mask=~has)], names=[*keys, "_start", "_end", "_island", "_prior"])
+        for part, tables in _partitions(batches):
+            state = _Carry(*carries.get(part, ()))
+            for table in tables:
+                island, before, has = state.scan(table, keys, step)
+                out = table.select([*keys, "_start", "_end"]).append_column("_island", pa.array(island)).append_column("_prior", pa.array(before, mask=~has))
+                yield from out.to_batches()
 
     return rows.mapInArrow(rescan, f"{key_ddl}, _start long, _end long, _island long, _prior long")
 
@@ -135,4 +145,5 @@ def gaps_within(df: DataFrame, keys: list[str], start: str, end: str, first: str
     cut = df.where(F.col(first) <= F.col(last)).select(*names, F.greatest(start, first).alias("_s"), F.least(end, last).alias("_e"), F.col(first).alias("_f"), F.col(last).alias("_l"))
     bounds = cut.select(*names, "_f", "_l").distinct()
     fence = bounds.select(*names, F.explode(F.array(F.col("_f") - 1, F.col("_l") + 1)).alias("_s")).withColumn("_e", F.col("_s"))
-    return gaps(cut.where("_s <= _e").select(*names, "_s", "_e").unionByName(fence), keys, "_s", "_e")
+    # kept, since sorting by range reads its input twice
+    return gaps(stored(cut.where("_s <= _e").select(*names, "_s", "_e").unionByName(fence)), keys, "_s", "_e")

@@ -11,29 +11,30 @@ from ..sources.tables import table
 _FILE = ["repo", "path"]
 
 
-def _declared(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy(table(spark, d, "declarations"), _FILE, "idx", "parent", "name", "container")
+def _declared(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
+    return hierarchy(table(spark, d, "declarations"), _FILE, "idx", "parent", "name", "container", columns=columns)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _declared(spark, d).where("status != 'root'").select(*_FILE, F.col("id").cast("int").alias("idx"), F.col("root_id").cast("int").alias("root_idx"), "depth")
+    return _declared(spark, d, ["root_id", "depth", "status"]).where("status != 'root'").select(*_FILE, F.col("id").cast("int").alias("idx"), F.col("root_id").cast("int").alias("root_idx"), "depth")
 
 
 def p5_tree(spark: SparkSession, d: str) -> DataFrame:
     """Full names, roots and the number of descendants; loops with their members."""
-    return _declared(spark, d).select(*_FILE, F.col("id").cast("int").alias("idx"), F.concat_ws("/", "names").alias("full_name"), "depth", "n_descendants", "status", F.concat_ws(",", "cycle").alias("loop_members"))
+    tree = _declared(spark, d, ["names", "depth", "n_descendants", "status", "cycle"])
+    return tree.select(*_FILE, F.col("id").cast("int").alias("idx"), F.concat_ws("/", "names").alias("full_name"), "depth", "n_descendants", "status", F.concat_ws(",", "cycle").alias("loop_members"))
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return descendants(_declared(spark, d), _FILE).select(*_FILE, F.col("id").cast("int").alias("idx"), F.col("descendant").cast("int").alias("descendant_idx"), "steps")
+    return descendants(_declared(spark, d, ["status", "path_ids"]), _FILE).select(*_FILE, F.col("id").cast("int").alias("idx"), F.col("descendant").cast("int").alias("descendant_idx"), "steps")
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
     """Read ranges with usable bounds: agent, repo, file, first (1), total, s, e. Reads whose file has no known size are dropped."""
-    rows = table(spark, d, "read_ranges").select("agent", "repo", "file", "line_start", "line_end", "total_lines").distinct()
+    rows = table(spark, d, "read_ranges").select("agent", "repo", "file", "line_start", "line_end", "total_lines")
     who = ["agent", "repo", "file"]
     totals = rows.groupBy(*who).agg(F.max("total_lines").alias("total"))
-    used = rows.where("line_start is not null or line_end is not null").select(*who, "line_start", "line_end").distinct()
+    used = rows.where("line_start is not null or line_end is not null").select(*who, "line_start", "line_end")
     both = used.join(totals, who).select(*who, F.lit(1).alias("first"), "total", F.coalesce("line_start", F.lit(1)).alias("a"), F.coalesce("line_end", "total").alias("b"))
     return both.select(*who, "first", "total", F.least("a", "b").alias("s"), F.greatest("a", "b").alias("e"))
 
