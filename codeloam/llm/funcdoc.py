@@ -1,47 +1,20 @@
 """Functions paired with their documentation.
 
-A lexer that knows strings and comments goes once over each file. Headers are found as text, since line numbers may come
-from another revision; braces, indentation or `end` delimit the body; and the comment that ends directly above the
-header (in Python the string that opens the body) is the documentation. Files and their declarations meet in one row,
+A scanner that knows the strings and comments of each language goes once over each file. Headers are found as text, since
+line numbers may come from another revision; braces, indentation or `end` outside strings and comments delimit the body;
+and the comment that ends directly above the header (in Python the string that opens the body) is the documentation. Files and their declarations meet in one row,
 so a file is parsed once.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Languages of file endings, for files whose language is not given.
-ENDINGS = {"py": "python", "rb": "ruby", "php": "php", "go": "go", "rs": "rust", "java": "java", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "c": "c", "h": "c", "sh": "bash", "lua": "lua"}
-
-_DOUBLE, _SINGLE = r'"(?:\\.|[^"\\\n])*"?', r"'(?:\\.|[^'\\\n])*'?"
-_SLASH, _BLOCK, _TICK = r"//[^\n]*", r"/\*[\s\S]*?(?:\*/|\Z)", r"`(?:\\[\s\S]|[^`\\])*`?"
-_TRIPLE = r'"""(?:\\[\s\S]|[^\\])*?(?:"""|\Z)' + r"|'''(?:\\[\s\S]|[^\\])*?(?:'''|\Z)"
-
-#: Of each language, what a lexer must step over: comments, strings, and what only looks like one.
-_PARTS = {
-    "python": (r"\#[^\n]*", _TRIPLE + "|" + _DOUBLE + "|" + _SINGLE),
-    "ruby": (r"\#[^\n]*|^=begin\b[\s\S]*?^=end\b[^\n]*", _DOUBLE + "|" + _SINGLE),
-    "bash": (r"\#[^\n]*", _DOUBLE + "|" + r"'[^']*'?"),
-    "lua": (r"--\[\[[\s\S]*?(?:\]\]|\Z)|--[^\n]*", _DOUBLE + "|" + _SINGLE),
-    "php": (_SLASH + "|" + _BLOCK + r"|\#(?!\[)[^\n]*", r'"(?:\\[\s\S]|[^"\\])*"?' + "|" + r"'(?:\\[\s\S]|[^'\\])*'?"),
-    "go": (_SLASH + "|" + _BLOCK, _DOUBLE + r"|`[^`]*`?|'(?:\\.|[^'\\\n])+'"),
-    "rust": (_SLASH + "|" + _BLOCK, r'r(\#*)"[\s\S]*?"\2|"(?:\\[\s\S]|[^"\\])*"?' + r"|'(?:\\[^\n]|[^'\\\n])'"),
-    "java": (_SLASH + "|" + _BLOCK, r'"""[\s\S]*?(?:"""|\Z)|' + _DOUBLE + "|" + _SINGLE),
-    "javascript": (_SLASH + "|" + _BLOCK, _DOUBLE + "|" + _SINGLE + "|" + _TICK),
-}
-
-
-@lru_cache(maxsize=None)
-def _lexer(language: str) -> re.Pattern:
-    comment, string = _PARTS.get({"typescript": "javascript", "c": "java"}.get(language, language), _PARTS["java"])
-    return re.compile(f"(?P<c>{comment})|(?:{string})|(?P<b>[{{}}])", re.M)
-
+from ..functions.lexing import Bare, language_of
 
 def words_of_name(name: str) -> set[str]:
     """The words that make up an identifier, in lower case."""
@@ -97,31 +70,21 @@ def prose_words(lines: list[str], name: str) -> list[str]:
     return out
 
 
-class Source:
-    """A lexed file: lines, which of them are comments only, and where brackets open and close."""
+class Source(Bare):
+    """A scanned file: its lines and which of them are comments only."""
 
     def __init__(self, content: str, language: str):
-        self.language = language
-        self.text = content.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
-        self.lines = self.text.split("\n")
-        self.offset = [0]
-        for line in self.lines:
-            self.offset.append(self.offset[-1] + len(line) + 1)
+        super().__init__(content.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n"), language)
         self.comment = bytearray(len(self.lines))
-        self.braces: list[tuple[int, int]] = []
-        ends = self.offset
-        for m in _lexer(language).finditer(self.text):
-            if m.lastgroup == "b":
-                self.braces.append((m.start(), 1 if m.group() == "{" else -1))
-            elif m.lastgroup == "c":
-                a = bisect_right(ends, m.start()) - 1
-                if self.text[ends[a] : m.start()].strip():
-                    continue  # code comes first on the line
-                b = bisect_right(ends, m.end() - 1) - 1
-                if self.text[m.end() : ends[b + 1] - 1].strip() and m.group().startswith("/*"):
-                    continue  # code follows the comment
-                for i in range(a, b + 1):
-                    self.comment[i] = 1
+        for start, stop in self.comments:
+            a = self.line_of(start)
+            if self.text[self.offset[a] : start].strip():
+                continue  # code comes first on the line
+            b = self.line_of(max(start, stop - 1))
+            if self.text[stop : self.offset[b + 1] - 1].strip() and self.text.startswith("/*", start):
+                continue  # code follows the comment
+            for i in range(a, b + 1):
+                self.comment[i] = 1
         self.at: dict[str, list[int]] | None = None
 
     def find(self, header: str) -> int:
@@ -145,24 +108,20 @@ class Source:
         i = line - 1
         while i >= 0 and not self.comment[i]:
             s = self.lines[i].strip()
-            if not s or not (s in known or s.startswith(("@", "#[")) or s.endswith((")", ")]", "]")) and self._opens(i)):
+            if not s:
                 break
-            i -= 1 if s in known or s.startswith(("@", "#[")) else i - self._opens(i) + 1 or 1
+            if not (s in known or s.startswith(("@", "#["))):
+                # the last line of an annotation over several lines, however many
+                first = self.first_line(i) if s.endswith((")", "]")) else i
+                if first == i or not self.lines[first].strip().startswith(("@", "#[")):
+                    break
+                i = first
+            i -= 1
         first, end = i + 1, i + 1
         while i >= 0 and self.comment[i]:
             i -= 1
         return first, self.lines[i + 1 : end]
 
-    def _opens(self, i: int) -> int:
-        """The line above, at most twenty lines up, on which an annotation begins that ends on line i; 0 if there is none."""
-        for k in range(i - 1, max(-1, i - 20), -1):
-            s = self.lines[k].strip()
-            if s.startswith(("@", "#[")):
-                return k if k else 0
-            if not s or self.comment[k] or s.endswith(("{", "}", ";")):
-                return 0
-        return 0
-
     def docstring(self, line: int, span: int) -> list[str]:
         """Python: the lines of the string that is the first statement of the body."""
         i = line + span
@@ -177,38 +136,6 @@ class Source:
             return []
         return m.group(2).split("\n")
 
-    def end(self, line: int, span: int) -> int:
-        """Last line of the body."""
-        last = line + span - 1
-        if self.language in ("python", "ruby", "lua"):
-            indent = len(self.lines[line]) - len(self.lines[line].lstrip())
-            i, end = last + 1, last
-            while i < len(self.lines):
-                s = self.lines[i]
-                if s.strip():
-                    deep = len(s) - len(s.lstrip())
-                    if self.language == "python" and deep <= indent and not s.strip().startswith(("#", ")")):
-                        break
-                    if self.language != "python" and deep <= indent:
-                        return i if s.strip().startswith("end") else end
-                    end = i
-                i += 1
-            return end
-        depth, k = 0, bisect_left(self.braces, (self.offset[line], -2))
-        while k < len(self.braces):
-            where, step = self.braces[k]
-            if depth == 0 and (step < 0 or where >= self.offset[min(last + 2, len(self.lines))]):
-                return last  # a header without a body
-            depth += step
-            if depth == 0:
-                return bisect_right(self.offset, where) - 1
-            k += 1
-        return len(self.lines) - 1
-
-
-def language_of(language: str | None, path: str | None) -> str:
-    return (language or ENDINGS.get((path or "").rsplit(".", 1)[-1].lower(), "java")).lower()
-
 
 def pair(content: str, language: str, declarations: list[dict]) -> Iterator[tuple[int, str, list[str]]]:
     """(place in declarations, code, documentation lines) of each declaration whose header is found."""

@@ -5,7 +5,8 @@ three-word terms, with document frequencies counted over the whole corpus; a ran
 computed in distributed products, gives the latent space; document passages near an item's passage by cosine are
 candidates; and an alignment of the two word sequences decides. No leak hangs on weights or cosine: whatever shares six
 words in a row with an item is aligned as well, and every leak does. Items are the query set, held in blocks of bounded
-size, and run against all documents.
+size, and run against all documents. Documents are taken together in stretches, so that each step is one array operation
+over many of them.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ WINDOW, DOC_STEP, ITEM_STEP = 24, 8, 4
 DIMENSIONS, ITERATIONS, COSINE = 96, 2, 0.45
 #: Equal words in a row that every leak has, and the most words between the first and the last start of such runs that are aligned at once.
 SEED, SPAN = 6, 512
-#: Words of a document that are compared with the items' runs at once.
-PIECE = 8192
-#: Items that are held in memory at once; more are taken in blocks, each against all documents.
-BLOCK_ITEMS = 2_000
+#: Words of a document that are compared with the items' runs at once, words of documents that are taken together, and the most pairs of a word and an item that holds it at once.
+PIECE, TOGETHER, MOST_PAIRS = 8192, 262_144, 8_000_000
+#: Words of items that are held in memory at once, about; more are taken in blocks, each against all documents.
+BLOCK_WORDS = 250_000
 
 _HIDDEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
-_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,300}>|<!--|-->")
+_TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>|<!--|-->")
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|\w{2,8});")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -70,7 +71,7 @@ def _expanded(places: np.ndarray, codes: np.ndarray, first: np.ndarray, holders:
 
 
 class Items:
-    """A block of items: word numbers, three-word terms and passages. Sent to the workers; bounded by BLOCK_ITEMS."""
+    """A block of items: word numbers, three-word terms and passages. Sent to the workers; bounded by BLOCK_WORDS."""
 
     def __init__(self, rows: list[tuple[int, str]], least: int):
         by_words: dict[tuple[str, ...], list[int]] = {}
@@ -81,6 +82,8 @@ class Items:
         self.ids = list(by_words.values())
         self.number: dict[str, int] = {}
         self.sequences = [np.array([self.number.setdefault(x, len(self.number)) for x in w], np.int32) for w in by_words]
+        if len(self.number) >= 1 << 21:
+            raise ValueError("a block of items has more than 2^21 different words; take smaller blocks")
         grams = [self._grams(s) for s in self.sequences]
         self.terms = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
         passages, owner = [], []
@@ -129,6 +132,33 @@ class Items:
                 out.setdefault(item, []).append(p)
         return out
 
+    def runs_of_many(self, t: np.ndarray, starts: np.ndarray, ends: np.ndarray, need: int, around: int) -> dict[tuple[int, int], list[int]]:
+        """shared_runs() of many documents whose terms lie in t from starts to ends: by (document, item), places counted from the document's start."""
+        codes = self.run_codes(t)
+        at = np.flatnonzero(codes >= 0)
+        k = np.minimum(np.searchsorted(self.runs, codes[at]), len(self.runs) - 1)
+        same = self.runs[k] == codes[at]
+        if not same.any():
+            return {}
+        doc = np.searchsorted(starts, at[same], "right") - 1
+        crowd = np.flatnonzero(np.bincount(doc, minlength=len(starts)))
+        known = np.flatnonzero(t >= 0)
+        known = known[np.isin(np.searchsorted(starts, known, "right") - 1, crowd)]
+        pairs = (self.run_first[k[same] + 1] - self.run_first[k[same]]).sum() + (self.term_first[t[known] + 1] - self.term_first[t[known]]).sum()
+        if pairs > MOST_PAIRS:
+            return {(d, item): runs for d in crowd.tolist() for item, runs in self.shared_runs(t[starts[d] : ends[d]], need, around).items()}
+        places, items = _expanded(at[same], k[same], self.run_first, self.run_holders)
+        where, whose = _expanded(known, t[known], self.term_first, self.term_holders)
+        doc = np.searchsorted(starts, places, "right") - 1
+        size = len(t) + 1
+        held = np.sort(whose * size + where)
+        low, high = np.maximum(places - around, starts[doc]), np.minimum(places + around + SEED, ends[doc])
+        enough = np.searchsorted(held, items * size + high) - np.searchsorted(held, items * size + low) >= need
+        out: dict[tuple[int, int], list[int]] = {}
+        for d, item, p in zip(doc[enough].tolist(), items[enough].tolist(), (places - starts[doc])[enough].tolist()):
+            out.setdefault((d, item), []).append(p)
+        return out
+
     def _grams(self, s: np.ndarray) -> np.ndarray:
         """Codes of three words in a row, -1 where one of them is in no item. Up to 2^21 different words."""
         s = s.astype(np.int64)
@@ -248,114 +278,163 @@ def _embed(terms: list[np.ndarray], idf: np.ndarray, basis: np.ndarray) -> np.nd
     return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
 
 
-def leaks(documents: DataFrame, items: DataFrame, id_: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 25, per_edit: int = 8, cosine: float = COSINE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def _together(sequences: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents in stretches of about TOGETHER words: the number of the first, the words with -1 after each document, and where documents start and end."""
+    k = 0
+    while k < len(sequences):
+        n, parts, sizes = 0, [], []
+        first = k
+        while k < len(sequences) and (not parts or n + len(sequences[k]) < TOGETHER):
+            parts += [sequences[k], np.array([-1], np.int32)]
+            sizes.append(len(sequences[k]))
+            n += len(sequences[k]) + 1
+            k += 1
+        ends = np.cumsum(np.array(sizes) + 1) - 1
+        yield first, np.concatenate(parts), ends - sizes, ends
+
+
+def _windows(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first term and number of terms of each passage of the documents."""
+    terms = np.maximum(ends - starts - 2, 0)
+    width = np.minimum(WINDOW - 2, terms)
+    spare = terms - width
+    n = np.where(terms > 0, spare // DOC_STEP + 1 + (spare % DOC_STEP > 0), 0)
+    doc = np.repeat(np.arange(len(starts)), n)
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return doc, starts[doc] + np.minimum(within * DOC_STEP, spare[doc]), width[doc]
+
+
+def leaks(documents: DataFrame, items: DataFrame, id_: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 25, per_edit: int = 8, cosine: float = COSINE, block_words: int = BLOCK_WORDS, by_cosine_alone: bool = False) -> DataFrame:
     """(doc_id, item_id): the document holds at least `least` words of the item's passage with at most one edit in per_edit words.
 
     Null and empty texts and items shorter than `least` words match nothing; repeated documents and items with equal
     passages all count; texts are read whole; other columns are ignored; empty tables give no rows. The cosine is that of
-    the latent vectors times the share of the passage's norm that lies in terms of the items: a term that no item has adds
-    nothing to any product. A passage whose share is below the wanted cosine is therefore no candidate by cosine; where
-    terms are frequent in the documents, that would lose leaks, so passages are also aligned wherever SEED words in a row
-    are those of an item. At most one edit in eight words leaves such a run in every stretch of 25 words or more, and
-    beside it so many unbroken terms (14 for 25 words) that runs without them need no alignment.
+    the latent vectors times the root of the share of the passage's terms that some item has: a term that no item has adds
+    nothing to any product. Weights have a floor, so that terms of many documents still count. Passages are also aligned
+    wherever SEED words in a row are those of an item: at most one edit in eight words leaves such a run in every stretch
+    of 25 words or more, and beside it so many unbroken terms (14 for 25 words) that documents and runs without them need
+    no alignment. by_cosine_alone leaves that second way out; it is there to measure the first.
     """
     spark = documents.sparkSession
     wanted = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
     # blocks of bounded size, fetched one after the other
-    count = wanted.count()
-    blocks = max(1, -(-count // block_items))
+    total = wanted.agg(F.sum(F.size(F.split("t", "\\W+")))).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+    texts = documents.select(F.col(id_).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    if blocks > 1:
+        texts = stored(_hashed(texts))  # texts are cut into words once for all blocks
     out = None
     for k in range(blocks):
         part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        found = _block(spark, documents.select(F.col(id_).alias("doc_id"), F.col(text).alias("text")), Items([(r["i"], r["t"]) for r in part.orderBy("i", "t").collect()], least), least, per_edit, cosine)
+        found = _block(spark, texts, Items([(r["i"], r["t"]) for r in part.orderBy("i", "t").collect()], least), least, per_edit, cosine, by_cosine_alone)
         out = found if out is None else out.unionByName(found)
     kinds = (documents.schema[id_].dataType, items.schema[item_id].dataType)
     return out.select(F.col("doc_id").cast(kinds[0]).alias(id_), F.col("item_id").cast(kinds[1]).alias(item_id)).distinct()
 
 
-def _block(spark, documents: DataFrame, items: Items, least: int, per_edit: int, cosine: float) -> DataFrame:
+def _hashed(texts: DataFrame) -> DataFrame:
+    """(doc_id, text): the 64-bit hashes of the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            data = [np.array([xxhash.xxh64_intdigest(w) for w in words(t)], np.uint64).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "text"])
+
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text binary")
+
+
+def _numberer(block: Items, hashed: bool):
+    """From a text, or the hashes of its words, to the numbers of its words, -1 for words in no item."""
+    if not hashed:
+        get = block.number.get
+        return lambda t: np.array([get(w, -1) for w in words(t)], np.int32)
+    import xxhash
+
+    codes = np.array([xxhash.xxh64_intdigest(w) for w in block.number], np.uint64)
+    order = np.argsort(codes)
+    codes = codes[order]
+
+    def number(data: bytes) -> np.ndarray:
+        h = np.frombuffer(data, np.uint64)
+        at = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
+        return np.where(codes[at] == h, order[at], -1).astype(np.int32)
+
+    return number
+
+
+def _block(spark, texts: DataFrame, items: Items, least: int, per_edit: int, cosine: float, by_cosine_alone: bool) -> DataFrame:
     if not items.ids:
         return spark.createDataFrame([], "doc_id long, item_id long")
     known = spark.sparkContext.broadcast(items)
+    hashed = texts.schema["text"].dataType.simpleString() == "binary"
     # an edit breaks three terms at most, and a longer stretch has a part of these lengths with no more edits for its size
     need = max(1, min(n - 2 - 3 * (n // per_edit) for n in range(least, 2 * least)))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts as word numbers, -1 for words in no item; a document without any term of the items ends here."""
+        """Different terms of each text, and its words as numbers; those of a text with fewer terms than any leak has end here."""
         block = known.value
-        get = block.number.get
+        numbers = _numberer(block, hashed)
         for batch in batches:
-            ids, data = [], []
-            for id_, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = np.array([get(w, -1) for w in words(t)], np.int32)
-                ids.append(id_)
-                data.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "words"])
-
-    coded = stored(documents.where("doc_id is not null and text is not null").mapInArrow(number, "doc_id long, words binary"))
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = known.value
-        df, n = np.zeros(len(block.terms), np.int64), 0
-        for batch in batches:
-            for w in batch.column(0).to_pylist():
-                t = block.term_numbers(np.frombuffer(w, np.int32))
-                df[np.unique(t[t >= 0])] += 1
-                n += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[df[at], n])], names=["term", "n"])
-
-    df, total = np.zeros(len(items.terms)), 1
-    for r in coded.select("words").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
-        if r["term"] < 0:
-            total = r["n"]
-        else:
-            df[r["term"]] = r["n"]
-    idf = np.log((1 + total) / (1 + df)).astype(np.float32) + np.float32(1e-3)
-    strange = float(np.log(1 + total)) ** 2 or 1.0  # squared weight of a term that no item has
+            sequences = [numbers(t) for t in batch.column(1).to_pylist()]
+            pairs, counts = [], np.zeros(len(sequences), np.int64)
+            for first, flat, starts, _ in _together(sequences):
+                t = block.term_numbers(flat)
+                at = np.flatnonzero(t >= 0)
+                doc = np.searchsorted(starts, at, "right") - 1 + first
+                counts += np.bincount(doc, minlength=len(sequences))
+                pairs.append(np.unique(doc * len(block.terms) + t[at]))
+            pairs = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
+            doc, term = np.divmod(pairs, max(1, len(block.terms)))
+            offsets = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(sequences)))].astype(np.int32)
+            data = [s.tobytes() if n >= need else None for s, n in zip(sequences, counts.tolist())]
+            arrays = [batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(term.astype(np.int32))), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "terms", "words"])
+
+    coded = stored(texts.mapInArrow(number, "doc_id long, terms array<int>, words binary"))
+    df, total = np.zeros(len(items.terms)), coded.count()
+    for r in coded.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toLocalIterator():
+        df[r["term"]] = r["n"]
+    idf = np.maximum(np.log((1 + total) / (1 + df)), np.log(1 + total) / 3).astype(np.float32) + np.float32(1e-3)
     basis = _basis(spark, items, idf, DIMENSIONS, ITERATIONS)
     latent = spark.sparkContext.broadcast((idf, basis, _embed(items.passages, idf, basis)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, (idf, basis, queries) = known.value, latent.value
-        square = np.r_[idf.astype(np.float64) ** 2, 0.0]
         for batch in batches:
-            docs, starts, shares, terms = [], [], [], []
-            sequences = [np.frombuffer(w, np.int32) for w in batch.column(1).to_pylist()]
-            for k, s in enumerate(sequences):
-                t = block.term_numbers(s)
-                if not (t >= 0).any():
-                    continue
-                width = min(WINDOW - 2, len(t))
-                mine = np.r_[0.0, np.cumsum(square[t])]
-                other = np.r_[0.0, np.cumsum(np.where(t < 0, strange, 0.0))]
-                at = np.unique(np.r_[np.arange(0, len(t) - width + 1, DOC_STEP), len(t) - width])
-                inside, outside = mine[at + width] - mine[at], other[at + width] - other[at]
-                share = np.sqrt(inside / np.maximum(inside + outside, 1e-9))
-                for a, h in zip(at[share >= cosine], share[share >= cosine]):
-                    x = t[a : a + width]
-                    docs.append(k)
-                    starts.append(a)
-                    shares.append(h)
-                    terms.append(x[x >= 0])
-            found: set[tuple[int, int]] = set()
-            done: set[tuple[int, int, int]] = set()
-            for lo in range(0, len(terms), 4096):
-                near = _embed(terms[lo : lo + 4096], idf, basis) @ queries.T * np.array(shares[lo : lo + 4096], np.float32)[:, None]
-                for r, c in zip(*np.nonzero(near >= cosine)):
-                    k, item, a = docs[lo + r], int(block.owner[c]), int(starts[lo + r])
-                    if (k, item) in found or (k, item, a) in done:
-                        continue
-                    done.add((k, item, a))
-                    s = sequences[k][max(0, a - 2 * least) : a + WINDOW + 2 * least]
-                    if aligned(block.sequences[item], s, least, per_edit):
-                        found.add((k, item))
-            for k, s in enumerate(sequences):
-                for item, runs in block.shared_runs(block.term_numbers(s), need, 2 * least).items():
-                    if (k, item) not in found and any(aligned(block.sequences[item], s[a:b], least, per_edit) for a, b in _stretches(runs, 2 * least)):
-                        found.add((k, item))
             ids = batch.column(0).to_pylist()
-            rows = [(ids[k], i) for k, item in found for i in block.ids[item]]
+            sequences = [np.frombuffer(w, np.int32) for w in batch.column(1).to_pylist()]
+            rows = []
+            for first, flat, starts, ends in _together(sequences):
+                t = np.r_[block.term_numbers(flat), -1, -1]
+                runs = block.runs_of_many(t, starts, ends, need, 2 * least)
+                near = _near(t, starts, ends, idf, basis, queries, block.owner, cosine)
+                # candidates by cosine come first; whatever has no run of SEED words cannot be aligned
+                for d, item in [*(p for p in near if p in runs), *(() if by_cosine_alone else (p for p in runs if p not in near))]:
+                    s = sequences[first + d]
+                    if any(aligned(block.sequences[item], s[a:b], least, per_edit) for a, b in _stretches(runs[(d, item)], 2 * least)):
+                        rows += [(ids[first + d], i) for i in block.ids[item]]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=["doc_id", "item_id"])
 
-    return coded.mapInArrow(search, "doc_id long, item_id long")
+    return coded.where("words is not null").select("doc_id", "words").mapInArrow(search, "doc_id long, item_id long")
+
+
+def _near(t: np.ndarray, starts: np.ndarray, ends: np.ndarray, idf: np.ndarray, basis: np.ndarray, queries: np.ndarray, owner: np.ndarray, cosine: float) -> dict[tuple[int, int], None]:
+    """(document, item) pairs with passages whose cosine is at least `cosine`."""
+    doc, at, width = _windows(starts, ends)
+    known = np.flatnonzero(t >= 0)
+    low, high = np.searchsorted(known, at), np.searchsorted(known, at + width)
+    share = np.sqrt((high - low) / np.maximum(width, 1))
+    kept = np.flatnonzero(share >= cosine)
+    out: dict[tuple[int, int], None] = {}
+    for lo in range(0, len(kept), 4096):
+        w = kept[lo : lo + 4096]
+        n = high[w] - low[w]
+        flat = t[known[np.repeat(low[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
+        sums = np.add.reduceat(basis[flat] * idf[flat][:, None], np.r_[0, np.cumsum(n)[:-1]], axis=0)
+        vectors = sums * (share[w].astype(np.float32) / np.maximum(np.linalg.norm(sums, axis=1), 1e-9))[:, None]
+        r, c = np.nonzero(vectors @ queries.T >= cosine)
+        for p in np.unique(doc[w][r] * len(queries) + owner[c]).tolist():
+            out[divmod(p, len(queries))] = None
+    return out

@@ -70,7 +70,7 @@ def test_leaks(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, item_id int").repartition(4)
     it = spark.createDataFrame(items, "item_id long, text string")
     assert {tuple(x) for x in leaks(df, it).collect()} == want
-    assert {tuple(x) for x in leaks(df, it, block_items=5).collect()} == want
+    assert {tuple(x) for x in leaks(df, it, block_words=300).collect()} == want
     assert leaks(df.limit(0), it).count() == 0 == leaks(df, it.limit(0)).count()
 
 
