@@ -94,6 +94,8 @@ class Items:
                 passages.append(t[a : a + WINDOW - 2])
                 owner.append(i)
         self.passages, self.owner = passages, np.array(owner, np.int64)
+        # the passages of an item lie together
+        self.spans = (np.searchsorted(self.owner, np.arange(len(self.ids))), np.searchsorted(self.owner, np.arange(len(self.ids)), "right"))
         numbers = [np.searchsorted(self.terms, g) for g in grams]
         # each run of SEED words and each term once, where its holders begin, and the items that hold it
         self.runs, self.run_first, self.run_holders = _holders([self.run_codes(t) for t in numbers])
@@ -182,15 +184,26 @@ def aligned(item: np.ndarray, doc: np.ndarray, least: int, per_edit: int, seed:
     """
     if len(item) < least or len(doc) < seed:
         return False
-    equal = item[:, None] == doc[None, :]
-    run = equal[: len(item) - seed + 1, : len(doc) - seed + 1].copy()
-    for k in range(1, seed):
-        run &= equal[k : len(item) - seed + 1 + k, k : len(doc) - seed + 1 + k]
-    first = run.copy()
-    first[1:, 1:] &= ~run[:-1, :-1]
+    runs, wanted = _run_hashes(item, seed), _run_hashes(doc, seed)
+    order = np.argsort(runs)
+    low, high = np.searchsorted(runs[order], wanted), np.searchsorted(runs[order], wanted, "right")
+    n = high - low
+    at_doc = np.repeat(np.arange(len(wanted)), n)
+    at_item = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    # runs that continue a run one word before begin nothing
+    place = at_item * (len(doc) + 1) + at_doc
+    first = ~np.isin(place - len(doc) - 2, place) | (at_doc == 0) | (at_item == 0)
     most = 2 * (least // per_edit)
     a, b = item.tolist(), doc.tolist()
-    for i, j in zip(*np.nonzero(first)):
+    # a stretch has a part of less than twice the least words with no more edits for its size: so many words near the run's diagonal are equal
+    reach, drift = 2 * least - 1, (2 * least - 1) // per_edit
+    band = np.arange(-drift, drift + 1)
+    for i, j in zip(at_item[first].tolist(), at_doc[first].tolist()):
+        rows = np.arange(max(0, i - reach), min(len(a), i + reach + 1))
+        columns = rows[:, None] + (j - i) + band[None, :]
+        inside = (columns >= 0) & (columns < len(b))
+        if ((doc[np.minimum(np.maximum(columns, 0), len(b) - 1)] == item[rows][:, None]) & inside).any(axis=1).sum() < least - least // per_edit:
+            continue
         right = _reach(a, b, int(i), int(j), 1, most)
         left = _reach(a, b, int(i) - 1, int(j) - 1, -1, most)
         for x in range(most + 1):
@@ -202,6 +215,15 @@ def aligned(item: np.ndarray, doc: np.ndarray, least: int, per_edit: int, seed:
     return False
 
 
+def _run_hashes(s: np.ndarray, size: int) -> np.ndarray:
+    """64-bit codes of `size` words in a row."""
+    n = len(s) - size + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + s[k : k + n].astype(np.uint64) + np.uint64(2)
+    return out
+
+
 def _reach(a: list[int], b: list[int], i: int, j: int, step: int, most: int) -> list[int]:
     """For 0 .. most edits, how many words of a from i on in direction step can be aligned with b from j on, ending in an equal word."""
 
@@ -371,6 +393,8 @@ def _block(spark, texts: DataFrame, items: Items, least: int, per_edit: int, cos
     hashed = texts.schema["text"].dataType.simpleString() == "binary"
     # an edit breaks three terms at most, and a longer stretch has a part of these lengths with no more edits for its size
     need = max(1, min(n - 2 - 3 * (n // per_edit) for n in range(least, 2 * least)))
+    # of a stretch of `least` words, some passage of a document holds all but half a step
+    shared = max(1, need - DOC_STEP // 2 - 1)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Different terms of each text, and its words as numbers; those of a text with fewer terms than any leak has end here."""
@@ -409,7 +433,7 @@ def _block(spark, texts: DataFrame, items: Items, least: int, per_edit: int, cos
             for first, flat, starts, ends in _together(sequences):
                 t = np.r_[block.term_numbers(flat), -1, -1]
                 runs = block.runs_of_many(t, starts, ends, need, 2 * least)
-                near = _near(t, starts, ends, idf, basis, queries, block.owner, cosine)
+                near = _near(block, t, starts, ends, idf, basis, queries, cosine, shared)
                 # candidates by cosine come first; whatever has no run of SEED words cannot be aligned
                 for d, item in [*(p for p in near if p in runs), *(() if by_cosine_alone else (p for p in runs if p not in near))]:
                     s = sequences[first + d]
@@ -420,21 +444,36 @@ def _block(spark, texts: DataFrame, items: Items, least: int, per_edit: int, cos
     return coded.where("words is not null").select("doc_id", "words").mapInArrow(search, "doc_id long, item_id long")
 
 
-def _near(t: np.ndarray, starts: np.ndarray, ends: np.ndarray, idf: np.ndarray, basis: np.ndarray, queries: np.ndarray, owner: np.ndarray, cosine: float) -> dict[tuple[int, int], None]:
-    """(document, item) pairs with passages whose cosine is at least `cosine`."""
+def _near(block: Items, t: np.ndarray, starts: np.ndarray, ends: np.ndarray, idf: np.ndarray, basis: np.ndarray, queries: np.ndarray, cosine: float, shared: int) -> dict[tuple[int, int], None]:
+    """(document, item) pairs with passages whose cosine is at least `cosine`.
+
+    A passage is searched among the passages of the items that have `shared` of its terms, which the terms' lists of
+    items tell.
+    """
     doc, at, width = _windows(starts, ends)
     known = np.flatnonzero(t >= 0)
     low, high = np.searchsorted(known, at), np.searchsorted(known, at + width)
-    share = np.sqrt((high - low) / np.maximum(width, 1))
-    kept = np.flatnonzero(share >= cosine)
+    share = np.sqrt((high - low) / np.maximum(width, 1)).astype(np.float32)
+    kept = np.flatnonzero(high - low >= shared)
+    n_items, (first, last) = len(block.ids), block.spans
     out: dict[tuple[int, int], None] = {}
-    for lo in range(0, len(kept), 4096):
-        w = kept[lo : lo + 4096]
+    for lo in range(0, len(kept), 2048):
+        w = kept[lo : lo + 2048]
         n = high[w] - low[w]
         flat = t[known[np.repeat(low[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
+        row, item = _expanded(np.repeat(np.arange(len(w)), n), flat, block.term_first, block.term_holders)
+        pairs, times = np.unique(row * n_items + item, return_counts=True)
+        row, item = np.divmod(pairs[times >= shared], n_items)
+        if not len(row):
+            continue
         sums = np.add.reduceat(basis[flat] * idf[flat][:, None], np.r_[0, np.cumsum(n)[:-1]], axis=0)
-        vectors = sums * (share[w].astype(np.float32) / np.maximum(np.linalg.norm(sums, axis=1), 1e-9))[:, None]
-        r, c = np.nonzero(vectors @ queries.T >= cosine)
-        for p in np.unique(doc[w][r] * len(queries) + owner[c]).tolist():
-            out[divmod(p, len(queries))] = None
+        vectors = sums * (share[w] / np.maximum(np.linalg.norm(sums, axis=1), 1e-9))[:, None]
+        for k in range(0, len(row), 512):
+            r, i = row[k : k + 512], item[k : k + 512]
+            m = last[i] - first[i]
+            passages = np.repeat(first[i] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            near = np.einsum("ij,ij->i", vectors[np.repeat(r, m)], queries[passages])
+            best = np.maximum.reduceat(near, np.r_[0, np.cumsum(m)[:-1]])
+            for d, x in zip(doc[w][r[best >= cosine]].tolist(), i[best >= cosine].tolist()):
+                out[(d, x)] = None
     return out
