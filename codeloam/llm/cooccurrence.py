@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import pinned, stored
 
+#: An item with more than one in HOT of the rows is spread over SALTS tasks where rows meet their items; there are fewer than HOT of them.
+HOT, SALTS = 64, 16
+
 _PAIRS = """explode(flatten(transform(slice(_ids, 1, size(_ids) - 1), (x, i) ->
     transform(slice(_ids, i + 2, size(_ids)), y -> shiftleft(x, 32) | y)))) as code"""
 
@@ -69,8 +72,13 @@ def cooccurrence(df: DataFrame, scope: list[str], record: str, item: str, max_it
     items = counted.repartition(parts, *sc, "_item").sortWithinPartitions(*sc, "_item").withColumn("_at", place)
     number = F.shiftrightunsigned("_at", 33) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) * parts
     items = pinned(items.withColumn("_id", F.expr(f"if((_at & 8589934591L) < {(1 << 31) // parts}L, 0L, cast(raise_error('more than 2^31 items') as long))") + number).drop("_at"))
-    ids = items.select(*[F.col(s).alias(f"{s}r") for s in sc], F.col("_item").alias("_ir"), "_id")
-    coded = used.join(ids, [*(F.col(s).eqNullSafe(F.col(f"{s}r")) for s in sc), F.col("_item") == F.col("_ir")]).select(*sc, "_record", "_id")
+    many = F.col("_n") * HOT > rows.count()
+    salts = F.when(many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    ids = items.select(*[F.col(s).alias(f"{s}r") for s in sc], F.col("_item").alias("_ir"), "_id", F.explode(salts).alias("_sr"))
+    hot = items.where(many).select(*[F.col(s).alias(f"{s}h") for s in sc], F.col("_item").alias("_ih"), F.lit(1).alias("_hot"))
+    salted = used.join(F.broadcast(hot), [*(F.col(s).eqNullSafe(F.col(f"{s}h")) for s in sc), F.col("_item") == F.col("_ih")], "left")
+    salted = salted.select(*sc, "_record", "_item", F.when(F.col("_hot") == 1, F.pmod(F.xxhash64("_record"), F.lit(SALTS)).cast("int")).otherwise(0).alias("_salt"))
+    coded = salted.join(ids, [*(F.col(s).eqNullSafe(F.col(f"{s}r")) for s in sc), F.col("_item") == F.col("_ir"), F.col("_salt") == F.col("_sr")]).select(*sc, "_record", "_id")
     baskets = coded.groupBy(*sc, "_record").agg(F.sort_array(F.collect_list("_id")).alias("_ids")).where("size(_ids) > 1")
     codes = baskets.select(F.expr(_PAIRS)).withColumn("n", F.lit(1).cast("long"))
     pairs = _runs(_runs(codes).repartition(parts, "code")).where(F.col("n") >= min_together)

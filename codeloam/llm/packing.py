@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +24,7 @@ from ..runtime import changed, stored, whole_groups
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the tokenizer cuts texts before merging: the pattern published with the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_GAP = re.compile(r"\S (?=\S)")
 #: Texts in a block, about.
 BLOCK = 4096
 
@@ -36,15 +38,32 @@ def _encoding(path: str):
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _stretches(text: str, most: int = 100_000) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of about `most` characters. They end before a single blank between two words, where the pattern always cuts."""
+    a = 0
+    while len(text) - a > most:
+        b = text.rfind(" ", a + 1, a + most)
+        while b > a and (text[b - 1].isspace() or text[b + 1].isspace()):
+            b = text.rfind(" ", a + 1, b)
+        if b <= a:  # no such place: the stretch goes on to the next
+            m = _GAP.search(text, a + most)
+            if m is None:
+                break
+            b = m.start() + 1
+        yield a, b
+        a = b
+    yield a, len(text)
+
+
 def token_counts(documents: DataFrame, id_: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id, n_tokens) of every text that is not null; an empty text has 0 tokens. Texts are encoded in stretches of 100,000 characters."""
+    """(id, n_tokens) of every text that is not null; an empty text has 0 tokens. Long texts are encoded in stretches that end where tokens do, so the count is that of the whole."""
     rows = documents.where(F.col(text).isNotNull()).select(id_, text)
     kind = rows.schema[id_].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(tokenizer).encode_ordinary
         for batch in batches:
-            sizes = [sum(len(encode(t[k : k + 100_000])) for k in range(0, len(t), 100_000)) for t in batch.column(1).to_pylist()]
+            sizes = [sum(len(encode(t[a:b])) for a, b in _stretches(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=[id_, "n_tokens"])
 
     return rows.mapInArrow(run, f"`{id_}` {kind}, n_tokens long")

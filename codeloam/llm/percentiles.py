@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..runtime import stored
+
 #: Centroids per digest, about. The share of ranks in one is at most pi / (2 * DELTA), in the middle.
 DELTA = 400
 #: Rows that one clustering window holds at most, about; larger groups are digested in parts first.
@@ -33,15 +35,23 @@ def _cluster(weighted: DataFrame, keys: list[str], delta: int) -> DataFrame:
     )
 
 
-def digest(df: DataFrame, keys: list[str], value: str, delta: int = DELTA, part_rows: int = PART_ROWS) -> DataFrame:
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, weight): how often each value comes in each group, kept in the shared folder for several readers. Nulls and NaN are dropped."""
+    v = F.col(f"`{value}`").cast("double")
+    return stored(df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias(value)).agg(F.count("*").cast("double").alias("weight")))
+
+
+def digest(df: DataFrame, keys: list[str], value: str, delta: int = DELTA, part_rows: int = PART_ROWS, weight: str | None = None) -> DataFrame:
     """Centroids (keys, mean, weight, low, high) of each group.
 
     Equal values are counted first (partial aggregation before the shuffle). A group with more distinct values than
     part_rows is digested in parts by a hash of the value, and the parts are merged; so no task holds a group whole.
     Null and NaN values are dropped; null keys are a value like any other; groups without values have no centroids.
+    weight names a column of value_counts(), whose rows need no counting.
     """
     v = F.col(f"`{value}`").cast("double")
-    counted = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("mean")).agg(F.count("*").cast("double").alias("weight"))
+    one = F.count("*").cast("double") if weight is None else F.sum(weight)
+    counted = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("mean")).agg(one.alias("weight"))
     counted = counted.withColumn("low", F.col("mean")).withColumn("high", F.col("mean"))
     n = _parts(counted, keys, part_rows)
     parts = _cluster(counted.withColumn("_part", F.pmod(F.xxhash64("mean"), F.lit(n)).cast("long")), [*keys, "_part"], delta)
@@ -79,13 +89,13 @@ def quantiles(digests: DataFrame, keys: list[str], ranks: dict[str, object]) ->
     return placed.groupBy(*keys).agg(F.max("n").cast("long").alias("n"), *out)
 
 
-def certified(df: DataFrame, keys: list[str], value: str, estimates: DataFrame, ranks: dict[str, object]) -> DataFrame:
+def certified(df: DataFrame, keys: list[str], value: str, estimates: DataFrame, ranks: dict[str, object], weight: str | None = None) -> DataFrame:
     """Adds name_error to each estimate: the distance, as a share of n, from the wanted rank to the ranks the estimate has in the data.
 
     Counts over equal values first; the estimates are one row per group.
     """
     v = F.col(f"`{value}`").cast("double")
-    counted = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_w"))
+    counted = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg((F.count("*") if weight is None else F.sum(weight)).alias("_w"))
     e = estimates
     for i, k in enumerate(keys):
         e = e.withColumnRenamed(k, f"_k{i}")

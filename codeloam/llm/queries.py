@@ -10,7 +10,7 @@ from .funcdoc import function_pairs
 from .generated import not_by_hand
 from .leakage import leaks
 from .packing import pack
-from .percentiles import certified, digest, merge, quantiles
+from .percentiles import certified, digest, merge, quantiles, value_counts
 from .spam import spam_pages
 
 def _ranks() -> dict:
@@ -29,8 +29,6 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("repo", "measured_on", F.col("v.language").alias("language"), F.col("v.complexity").alias("complexity")).where("complexity >= 0")
 
 
-def _estimated(rows: DataFrame) -> DataFrame:
-    return quantiles(digest(rows, _GROUP, "complexity"), _GROUP, _ranks())
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -43,8 +41,9 @@ def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = _measured(spark, d)
-    e = certified(rows, _GROUP, "complexity", _estimated(rows), _ranks())
+    counts = value_counts(_measured(spark, d), _GROUP, "complexity")
+    estimated = quantiles(digest(counts, _GROUP, "complexity", weight="weight"), _GROUP, _ranks())
+    e = certified(counts, _GROUP, "complexity", estimated, _ranks(), "weight")
     sure = F.greatest("lower_error", "upper_error", "p90_error") <= 0.02
     median = F.floor((F.col("lower") + F.col("upper")) / 2)
     held = F.when(sure, F.col("p90") >= 8 * median).otherwise(F.raise_error(F.lit("a rank is off by more than 2%")).cast("boolean"))
@@ -53,9 +52,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Median and p90 of each group from digests of single days put together, with certified rank errors."""
-    rows = _measured(spark, d)
-    days = digest(rows, [*_GROUP, "measured_on"], "complexity")
-    e = certified(rows, _GROUP, "complexity", quantiles(merge(days.drop("measured_on"), _GROUP), _GROUP, _ranks()), _ranks())
+    counts = value_counts(_measured(spark, d), [*_GROUP, "measured_on"], "complexity")
+    days = digest(counts, [*_GROUP, "measured_on"], "complexity", weight="weight")
+    e = certified(counts, _GROUP, "complexity", quantiles(merge(days.drop("measured_on"), _GROUP), _GROUP, _ranks()), _ranks(), "weight")
     return e.select(*_GROUP, "n", F.floor((F.col("lower") + F.col("upper")) / 2).alias("median"), F.floor("p90").alias("p90"), F.greatest("lower_error", "upper_error").alias("median_error"), "p90_error")
 
 

@@ -1,9 +1,11 @@
 """Keyword-stuffed pages, link lists and tag lists.
 
-Lines are cut into sentence-like segments, and each segment is reduced to a shape: counts of words, capitals, separators
-and links, in steps. Segments that are sentences, code or log entries are content; the others group by shape. A page is
-flagged if most of its text lies in segments that are no sentences and few shapes hold most of those. Sentences made
-of little more than a phrase that comes back as often as in a quarter of all sentences are repetition, not content.
+Lines are cut into segments as sentences end, and each segment is reduced to a shape: counts of words, capitals, separators
+and links, in steps, with how it begins and ends. The shape tells a sentence from an entry of a list, whatever the language:
+there is no list of words. A segment of sentence shape whose words keep coming back (a phrase at least once in seven words
+of the segments it stands in, or half of a long segment's words) counts as a repeated shape. Code and log entries are
+content. A page is flagged if most of its text lies in segments of other shapes than sentences and few of these shapes
+hold most of it.
 
 A page is judged alone and in one pass, so nothing is shuffled.
 """
@@ -18,26 +20,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Frequent function words of the corpus languages, by which sentences are told from lists.
-FUNCTION_WORDS = frozenset(
-    """a an the and or but nor of to in on at by for from with without into until before after as if when while because unless though
-    than that this these those it its is are was were be been has have had do does did can could may might must should will would not no
-    our we you they he she his her their who whose which what there here so too any some each every both either neither another one per
-    der die das den dem des ein eine einen einer und oder aber nicht nur mit von vom zu zum zur im in ist sind war wird werden bleibt auch wenn
-    bevor nach seit auf aus bei für über solange damit dass sich noch keine kein einem wir man alle mehr als
-    el la los las un una unos unas y o pero no de del al con por para que se es son en su sus si cuando antes sin sobre hasta más lo como ya está muy
-    le les l d des du et ou mais ne pas avec par pour qui que dans sur est sont ce cette ces une il elle on plus avant si tant encore aux au sans tout tous""".split()
-)
-
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2028\u2029\u2060\ufeff]")
 _LINK = re.compile(r"<a\b[^>]*>[\s\S]*?</a>|!?\[[^\]\n]*\]\([^)\n]*\)|<https?://[^>\s]*>|https?://\S+|\bwww\.\S+", re.I)
 _META = re.compile(r"<meta\b[^>]*?content\s*=\s*\"([^\"]*)\"[^>]*>?", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>")
 _LOG = re.compile(r"^\W*(?:\d{4}[-/]\d\d?[-/]\d\d?[T ]\d\d?:\d\d|\d\d?:\d\d:\d\d|\[?\d\d?/\w{3}/\d{4}|(?:DEBUG|INFO|WARN|WARNING|ERROR|FATAL|TRACE)\b)")
-_CODE = re.compile(r"[;{}]\s*$|^\s*(?:[)\]}]|//|/\*|\*/?(?:\s|$)|#!|<\?php|\$ )|[\w\])]\s*(?::=|[-+*/]?=|==|!=|->|=>)\s*\S|\w\([^()]*\)\s*[:{;]?\s*$|^\s*(?:def|class|fn|func|function|public|private|protected|const|let|var|if|for|else|while|module)\b(?=.*[(){}=;:$])(?!.*[.!?]\s*$)|^\s*(?:return|import|from|require|use|package|end|else|break)\b(?:\s+\S+){0,2}\s*$")
+_CODE = re.compile(r"[;{}]\s*$|^\s*(?:[)\]}]|//|/\*|\*/|#!|<\?php|\$ )|[\w\])]\s*(?::=|[-+*/]?=|==|!=|->|=>)\s*\S|\w\([^()]*\)\s*[:{;]?\s*$|^\s*(?:def|class|fn|func|function|public|private|protected|const|let|var|if|for|else|while|module)\b(?=.*[(){}=;:$])(?!.*[.!?]\s*$)|^\s*(?:return|import|from|require|use|package|end|else|break)\b(?:\s+\S+){0,2}\s*$|^\s*(?:from\s+\S+\s+import\b|return\b(?!.*[.!?]\s*$))")
 _TRAIL = re.compile(r"^\W*\w[\w' -]*(?:[>»›→][\w' -]*\w[\w' -]*){2,}(?:\(\d+\))?$")
 _HASHTAGS = re.compile(r"(?:^|\s)#\w")
-_SENTENCE_END = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\s+—\s+")
+_SEGMENT_END = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\s+—\s+|\s*\|\s*")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SEPARATORS = re.compile(r"[,|;·•>»/#]|\s[-–—]\s")
 
@@ -47,55 +38,94 @@ def _step(n: int) -> int:
     return n if n < 3 else (n - 1).bit_length() + 1
 
 
-def shape(words: list[str], separators: int, links: int) -> tuple[int, int, int, int]:
-    return _step(len(words)), _step(sum(w[0].isupper() for w in words)), _step(separators), _step(links)
+def shape(words: list[str], separators: int, links: int, mark: str = "") -> tuple[int, int, int, int, str]:
+    """Steps of the counts, and what else tells segments apart: links, trail, tags, list, repeated or sentence."""
+    return _step(len(words)), _step(sum(w[0].isupper() for w in words)), _step(separators), _step(links), mark
 
 
-def _repeated(sentences: list[list[str]]) -> set[tuple[str, ...]]:
-    """Phrases of three words without function words that come back at least four times and as often as a quarter of the sentences."""
-    seen: Counter = Counter()
-    for words in sentences:
-        low = [w.lower() for w in words]
-        marks = [w in FUNCTION_WORDS for w in low]
-        for i in range(len(low) - 2):
-            if not (marks[i] or marks[i + 1] or marks[i + 2]):
-                seen[(low[i], low[i + 1], low[i + 2])] += 1
-    return {p for p, n in seen.items() if n >= 4 and 4 * n >= len(sentences)}
+def is_sentence(words: list[str], separators: int, part: str) -> bool:
+    """Is this the shape of a sentence? Four words or more, at most one separator to four words and half of the words with a capital; below seven words it begins with a capital or a number or ends like one."""
+    n = len(words)
+    if n < 4 or n < 7 and not (part[0].isupper() or part[0].isdigit() or part[-1] in ".!?:"):
+        return False
+    capitals = sum(w[0].isupper() for w in words) if not part.isupper() else 1
+    return 4 * separators <= n and 2 * capitals <= n + 1
 
 
-def weigh(text: str) -> tuple[int, int, Counter]:
-    """Characters of content, characters in segments that are no sentences, and those by shape."""
-    text = _HIDDEN.sub("", html.unescape(text)).replace("\u00a0", " ")
-    content, junk = 0, Counter()
-    sentences: list[tuple[list[str], int, tuple]] = []
-    fenced = False
-    for line in text.splitlines():
+def repeated(segments: list[list[str]]) -> list[bool]:
+    """Which segments are made of phrases that keep coming back.
+
+    A phrase of three words is one if it stands there four times and once in seven words of the segments that have it; a
+    segment is if more than two fifths of its words lie in such phrases, or, from 16 words on, if half of its words have
+    been there before.
+    """
+    seen, room = Counter(), Counter()
+    phrases = [list(zip(w, w[1:], w[2:])) for w in segments]
+    for words, own in zip(segments, phrases):
+        seen.update(own)
+        for p in set(own):
+            room[p] += len(words)
+    stuffed = {p for p, n in seen.items() if n >= 4 and 7 * n >= room[p]}
+    out = []
+    for words, own in zip(segments, phrases):
+        covered = {i + k for i, p in enumerate(own) if p in stuffed for k in range(3)} if stuffed else ()
+        out.append(5 * len(covered) > 2 * len(words) or len(words) >= 16 and 2 * len(set(words)) <= len(words))
+    return out
+
+
+_PREFIX = re.compile(r"(>)[> ]*|(#) +(?=\S)")
+
+
+def _unwrapped(text: str) -> Iterator[str]:
+    """Lines without blank ones; lines that follow each other with a mark of quotation or comment before them are one text. A single one may be a heading."""
+    held: list[str] = []
+    mark, fenced = "", False
+    for line in [*text.splitlines(), ""]:
         line = line.strip()
-        if not line:
-            continue
+        fenced = fenced != line.startswith(("```", "~~~"))
+        m = None if fenced else _PREFIX.match(line)
+        now = (m.group(1) or m.group(2)) if m else ""
+        if held and now != mark:
+            heading = mark == "#" and len(held) == 1 and held[0][:1].isupper() and held[0][-1:] not in ".!?"
+            yield f"# {held[0]}" if heading else " ".join(held)
+            held = []
+        mark = now
+        if now:
+            held.append(line[m.end() :].strip())
+        elif line:
+            yield line
+
+
+def weigh(text: str) -> tuple[int, Counter]:
+    """Characters of content, and of all other segments by shape."""
+    text = _HIDDEN.sub("", html.unescape(text)).replace("\u00a0", " ")
+    content, shapes = 0, Counter()
+    segments: list[tuple[list[str], str]] = []
+    fenced = commented = False
+    for line in _unwrapped(text):
         if line.startswith(("```", "~~~")):
             fenced = not fenced
             continue
-        if fenced or _LOG.match(line):
+        if line.startswith("/*"):
+            commented = True
+        if fenced or commented or _LOG.match(line):
             content += len(line)
+            commented = commented and "*/" not in line
             continue
         size = len(line)
         if "<" in line:
             line = _META.sub(r" \1 ", line)
         links = 0
         if "http" in line or "](" in line or "<a" in line or "www." in line or "HTTP" in line:
-            found = _LINK.findall(line)
-            links = len(found)
+            links = len(_LINK.findall(line))
             if links:
                 rest = _TAG.sub(" ", _LINK.sub(" ", line))
                 words = _WORD.findall(rest)
-                per = len(words) / links
-                if per < 4 or sum(w.lower() in FUNCTION_WORDS for w in words) < max(1, 0.12 * len(words)):
-                    # sentences before or after a run of links stay content
-                    prose = [s for s in _SENTENCE_END.split(rest) if _prose(_WORD.findall(s), s)]
-                    kept = min(size, sum(map(len, prose))) if links > 2 or per < 4 else 0
+                if len(words) < 4 * links:  # an entry; sentences beside a run of links stay content
+                    kept = sum(len(x) for x in _SEGMENT_END.split(rest) if is_sentence(_WORD.findall(x), len(_SEPARATORS.findall(x)), x.strip() or " "))
+                    kept = min(size, kept)
                     content += kept
-                    junk[(*shape(words[:4], min(links, 2), min(links, 3)), "links")] += size - kept
+                    shapes[shape(words[:4], min(links, 2), min(links, 3), "links")] += size - kept
                     continue
                 line = rest
         if "<" in line:
@@ -103,50 +133,29 @@ def weigh(text: str) -> tuple[int, int, Counter]:
         if line.startswith("#") and line.lstrip("#")[:1] == " ":
             continue  # headings count on neither side
         if _TRAIL.match(line):
-            junk[(*shape([], 3, 0), "trail")] += size
+            shapes[shape([], 3, 0, "trail")] += size
             continue
         if len(_HASHTAGS.findall(line)) >= 2 or re.match(r"#\w+\s", line) and not line.endswith((".", "!")):
-            junk[(*shape([], 2, 0), "tags")] += size
+            shapes[shape([], 2, 0, "tags")] += size
             continue
         if _CODE.search(line) and not links:
             content += size
             continue
-        for part in _SENTENCE_END.split(line):
+        for part in _SEGMENT_END.split(line):
             part = part.strip()
-            if not part:
-                continue
             words = _WORD.findall(part)
-            separators = len(_SEPARATORS.findall(part))
-            if "`" in part and separators < 4:
+            if "{" in part or "}" in part or "`" in part and len(_SEPARATORS.findall(part)) < 4:
                 content += len(part)
-            elif _prose(words, part):
-                sentences.append((words, len(part), shape(words, separators, 0)))
             elif words:
-                junk[(*shape(words, separators, 0), "list")] += len(part)
-    phrases = _repeated([s[0] for s in sentences])
-    for words, size, _ in sentences:
-        low = [w.lower() for w in words]
-        covered: set[int] = set()
-        if phrases:
-            for i in range(len(low) - 2):
-                if (low[i], low[i + 1], low[i + 2]) in phrases:
-                    covered.update((i, i + 1, i + 2))
-        if len(covered) > 0.4 * len(words):
-            junk[(0, 0, 0, 0, "repeated")] += size
+                segments.append((words, part))
+    again = repeated([[w.lower() for w in words] for words, _ in segments])
+    for (words, part), stuffed in zip(segments, again):
+        separators = len(_SEPARATORS.findall(part))
+        if is_sentence(words, separators, part) and not stuffed:
+            content += len(part)
         else:
-            content += size
-    return content, sum(junk.values()), junk
-
-
-def _prose(words: list[str], part: str) -> bool:
-    n = len(words)
-    if n < 4:
-        return False
-    known = sum(w.lower() in FUNCTION_WORDS for w in words)
-    if known >= max(1, 0.12 * n):
-        return True
-    # a sentence in a language that the words do not cover
-    return part[0].isupper() and part[-1] in ".!?" and n >= 5 and len(_SEPARATORS.findall(part)) * 5 <= n and len({w.lower() for w in words}) > 0.7 * n and sum(w[0].isupper() for w in words) * 2 < n
+            shapes[shape(words, separators, 0, "repeated" if stuffed else "list")] += len(part)
+    return content, shapes
 
 
 RESULT = "content_chars int, list_chars int, shapes int, top_share double, spam boolean"
@@ -166,7 +175,8 @@ def spam_pages(documents: DataFrame, id_: str = "doc_id", text: str = "text", mo
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for t in batch.column(1).to_pylist():
-                content, other, shapes = weigh(t) if t else (0, 0, Counter())
+                content, shapes = weigh(t) if t else (0, Counter())
+                other = sum(shapes.values())
                 top = sum(n for _, n in shapes.most_common(few)) / other if other else 0.0
                 for column, v in zip(out, (content, other, len(shapes), top, other >= least_chars and other > most * (content + other) and top >= 0.5)):
                     column.append(v)
