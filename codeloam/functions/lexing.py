@@ -165,7 +165,7 @@ def blanked(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-_RUBY_WORD = re.compile(r"(?<![.:@$\w])(class|module|def|begin|case|for|do|if|unless|while|until|end)(?![\w?!:=]|:)")
+_RUBY_WORD = re.compile(r"(?<![.:@$\w])((?:class|module)(?=\s+(?:[A-Z:]|<<))|def|begin|case|for|do|if|unless|while|until|end)(?![\w?!:=]|:)")
 _RUBY_HEAD = re.compile(r"(?:[=(,;\[{|&]|\b(?:then|else|do|and|or|not))\s*\Z|\A\s*\Z")
 _ENDLESS = re.compile(r"def\s+[\w.?!]+(?:\([^()\n]*\))?\s*=(?![=~>])")
 _LUA_WORD = re.compile(r"(?<![.:\w])(function|if|do|repeat|end|until)\b")
@@ -294,6 +294,8 @@ class Bare:
                 head = self.code[self.offset[i] : m.start()]
                 if word in ("if", "unless", "while", "until") and not _RUBY_HEAD.search(head):
                     continue
+                if word in ("class", "module") and head.strip() and not head.rstrip().endswith(";"):
+                    continue
                 if word == "do" and looped == i:
                     looped = -1
                     continue

@@ -5,6 +5,8 @@ A null argument gives null unless stated otherwise.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 #: Ordered enums: visibility and confidence (the lower confidence is the stronger).
@@ -131,8 +133,8 @@ def humanize_seconds(seconds: Column | str) -> Column:
 
 
 def clip(text: Column | str, n: int) -> Column:
-    """At most n characters; a cut text ends in an ellipsis."""
-    t = F.trim(_c(text))
+    """At most n characters; a cut text ends in an ellipsis, without blanks before it. One that fits stays as it is."""
+    t = _c(text)
     return F.when(F.length(t) <= n, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, n - 1)), F.lit("…")))
 
 
@@ -172,7 +174,9 @@ def civil_date(seconds: Column | str) -> Column:
 
 
 def date_in_name(path: Column | str) -> Column:
-    return F.to_date(F.nullif(F.regexp_extract(base_name(path), "(\\d{4}-\\d{2}-\\d{2})", 1), F.lit("")))
+    """The date in a file's name, with dashes or as eight digits, not as part of a longer number; null for none or an impossible one."""
+    part = lambda k: F.nullif(F.regexp_extract(base_name(path), "(?:^|[^0-9])(\\d{4})-?(\\d{2})-?(\\d{2})(?:[^0-9]|$)", k), F.lit(""))
+    return F.try_make_timestamp_ntz(part(1).cast("int"), part(2).cast("int"), part(3).cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
 
 def status_label(status: Column | str) -> Column:
@@ -201,22 +205,79 @@ def hunk_range(text: Column | str) -> Column:
     return F.struct(a.alias("first"), (a + b - 1).alias("last"))
 
 
-def stamp(line: Column | str) -> Column:
-    """The wall-clock time a log line opens with, as a time without zone, or null.
+#: The forms of time that log lines open with. Syslog names no year.
+_ISO = "(\\d{4})[-/](\\d{2})[-/](\\d{2})[T ](\\d{2}):(\\d{2}):(\\d{2})"
+_ACCESS_LOG = "(\\d{2})/([A-Za-z]{3})/(\\d{4}):(\\d{2}):(\\d{2}):(\\d{2})"
+_PHP_LOG = "(\\d{1,2})-([A-Za-z]{3})-(\\d{4})[ :](\\d{2}):(\\d{2}):(\\d{2})"
+_SYSLOG = "^([A-Za-z]{3})\\s+(\\d{1,2})\\s+(\\d{2}):(\\d{2}):(\\d{2})"
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 
-    ISO, access log, bracketed PHP and syslog forms within the first 64 characters. Syslog names no year; it is read as
-    of 1970 and carried forward by the caller. Impossible dates give null.
-    """
-    head = F.when(_c(line).startswith("{"), _c(line)).otherwise(F.substring(_c(line), 1, 64))
-    months = F.map_from_arrays(F.array(*[F.lit(m) for m in "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()]), F.array(*[F.lit(i) for i in range(1, 13)]))
-    part = lambda p, i: F.nullif(F.regexp_extract(head, p, i), F.lit(""))
-    iso = "(\\d{4})-(\\d{2})-(\\d{2})[T ](\\d{2}):(\\d{2})(?::(\\d{2}))?"
-    clf = "(\\d{2})[/-]([A-Z][a-z]{2})[/-](\\d{4})[: ](\\d{2}):(\\d{2}):(\\d{2})"
-    sys_ = "^([A-Z][a-z]{2}) +(\\d{1,2}) (\\d{2}):(\\d{2}):(\\d{2})"
-    make = lambda y, mo, d, h, mi, s: F.try_make_timestamp_ntz(y, mo, d, h, mi, s)
+
+def _time_in(text: Column) -> Column:
+    part = lambda p, k: F.nullif(F.regexp_extract(text, p, k), F.lit(""))
     i = lambda p, k: part(p, k).cast("int")
+    month = lambda p, k: F.nullif(F.element_at(F.map_from_arrays(F.array(*[F.lit(m) for m in _MONTHS.split()]), F.array(*[F.lit(n) for n in range(1, 13)])), F.lower(part(p, k))), F.lit(0))
+    make = F.try_make_timestamp_ntz
     return F.coalesce(
-        make(i(iso, 1), i(iso, 2), i(iso, 3), i(iso, 4), i(iso, 5), F.coalesce(i(iso, 6), F.lit(0))),
-        make(i(clf, 3), months[part(clf, 2)], i(clf, 1), i(clf, 4), i(clf, 5), i(clf, 6)),
-        make(F.when(part(sys_, 1).isNotNull(), 1970), months[part(sys_, 1)], i(sys_, 2), i(sys_, 3), i(sys_, 4), i(sys_, 5)),
+        make(i(_ISO, 1), i(_ISO, 2), i(_ISO, 3), i(_ISO, 4), i(_ISO, 5), i(_ISO, 6)),
+        *(make(i(p, 3), month(p, 2), i(p, 1), i(p, 4), i(p, 5), i(p, 6)) for p in (_ACCESS_LOG, _PHP_LOG)),
+        make(F.when(part(_SYSLOG, 1).isNotNull(), 1970), month(_SYSLOG, 1), i(_SYSLOG, 2), i(_SYSLOG, 3), i(_SYSLOG, 4), i(_SYSLOG, 5)),
     )
+
+
+def stamp(line: Column | str) -> Column:
+    """The wall-clock time a log line opens with, as a time without zone, or null.
+
+    ISO, access log, bracketed PHP and syslog forms within the first 64 characters; of a line that is a JSON object
+    anywhere in it. Syslog names no year; it is read as of 1970 and carried forward by the caller. Impossible dates give
+    null.
+    """
+    t = _c(line)
+    return F.when(t.rlike("\\d{2}:\\d{2}:\\d{2}"), F.coalesce(_time_in(F.substring(t, 1, 64)), F.when(is_object(t), _time_in(t))))
+
+
+def is_object(line: Column | str) -> Column:
+    """Is the line a JSON object? It opens a log entry of its own, with or without a time."""
+    return F.ltrim(_c(line)).startswith("{")
+
+
+def window_bound(value: str, anchor: str, end: bool = False) -> str | None:
+    """A bound of a window of time as 'YYYY-MM-DD HH:MM:SS', from a date, a time or both; null if it is neither.
+
+    A time alone is one of the anchor's date. A bound that ends a window runs to the end of its minute or day.
+    """
+    m = re.fullmatch(r"(?:(\d{4}-\d{2}-\d{2}))?\s*(?:(\d{1,2}):(\d{2})(?::(\d{2}))?)?", value.strip())
+    if m is None or not (m.group(1) or m.group(2)):
+        return None
+    day = m.group(1) or anchor
+    if not (1 <= int(day[5:7]) <= 12 and 1 <= int(day[8:10]) <= 31):
+        return None
+    last = "59" if end else "00"
+    return f"{day} {int(m.group(2)):02d}:{m.group(3)}:{m.group(4) or last}" if m.group(2) else f"{day} {'23:59:59' if end else '00:00:00'}"
+
+
+def bare_name(text: Column | str) -> Column:
+    """Is the text one name, so that it can be looked up among the declarations?"""
+    return _c(text).rlike("^[A-Za-z_][A-Za-z0-9_]+$")
+
+
+#: What stands beside a file's name in a tree for its rank.
+MARKERS = {"low": "·", "medium": "•", "high": "●", "critical": "⚠"}
+
+
+def rank_marker(rank: Column | str) -> Column:
+    """The sign of a rank, '?' for none."""
+    out = F.lit("?")
+    for name, sign in MARKERS.items():
+        out = F.when(_c(rank) == name, sign).otherwise(out)
+    return out
+
+
+def confidence_label(confidence: Column | str) -> Column:
+    c = _c(confidence)
+    return F.when(c == 0, CONFIDENCE[0]).when(c == 1, CONFIDENCE[1]).when(c == 2, CONFIDENCE[2])
+
+
+def format_time(stamp_: Column | str) -> Column:
+    """A time to the minute, as listings show it."""
+    return F.date_format(_c(stamp_), "yyyy-MM-dd HH:mm")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..runtime import pinned
 from .text import glob_match
 
 
@@ -46,16 +47,48 @@ def links(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return docs.select(id_, F.explode(F.array_distinct(found)).alias("target"))
 
 
-def fingerprints(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """One hash over the values of each key in order, and their number."""
-    listed = F.array_sort(F.collect_list(F.struct(order, value)))
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(listed, lambda x: x[value]), ","), 256).alias("key"))
+def fingerprints(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """n and a fingerprint of the values of each key, whatever their order: the sum of 48 bits of each value's hash.
+
+    Sums are formed before the shuffle, so no key is gathered.
+    """
+    part = F.conv(F.substring(F.sha2(value, 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("fingerprint"))
 
 
 def fit(rows: DataFrame, keys: list[str], order: list[str], size: str, budget: int) -> DataFrame:
     """Adds `state`: whole while the running size is within the budget, cut for the row that crosses it, queued after."""
-    upto = F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_u", upto).withColumn("state", F.when(F.col("_u") <= budget, "whole").when(F.col("_u") - F.col(size) < budget, "cut").otherwise("queued")).drop("_u")
+    upto = running(rows, keys, order, size, "_u")
+    return upto.withColumn("state", F.when(F.col("_u") <= budget, "whole").when(F.col("_u") - F.col(size) < budget, "cut").otherwise("queued")).drop("_u")
+
+
+def running(rows: DataFrame, keys: list[str], order: list[str], size: str, name: str) -> DataFrame:
+    """Adds the running sum of `size` within each key in a total order, of keys of any size.
+
+    Rows are sorted by range over all partitions; each adds up what it holds of a key, and what came before in other
+    partitions (a row per partition and key that runs over several) is added to it.
+    """
+    placed = pinned(rows.repartitionByRange(*[F.col(c) for c in (*keys, *order)]).withColumn("_part", F.spark_partition_id()))
+    sums = placed.groupBy(*keys, "_part").agg(F.sum(size).alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), before.alias("_before")).where("_before is not null")
+    inside = F.sum(size).over(Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    met = placed.withColumn("_inside", inside).join(offsets, [F.col("_part") == F.col("_p"), *(F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))], "left")
+    return met.select(*rows.columns, (F.col("_inside") + F.coalesce("_before", F.lit(0))).alias(name))
+
+
+def tiers(rows: DataFrame, order: list[str], full: str, short: str, budget: int) -> DataFrame:
+    """Adds `tier` to entries of a listing, the most important first: full, short (detail left out) or counted.
+
+    Entries keep their detail while all that come before with theirs, and all after without, fit the budget; what does not
+    even fit in short form is counted only. Sizes are of each entry in full and in short form.
+    """
+    one = rows.withColumn("_one", F.lit(1)).withColumn("_more", F.col(full) - F.col(short))
+    brief = running(one, ["_one"], order, short, "_brief")
+    both = running(brief, ["_one"], order, "_more", "_extra")
+    room = budget - both.agg(F.sum(short)).first()[0] if both.limit(1).count() else 0
+    tier = F.when(F.col("_brief") > budget, "counted").when(F.lit(room) < 0, "short").when(F.col("_extra") <= room, "full").otherwise("short")
+    return both.withColumn("tier", tier).select(*rows.columns, "tier")
 
 
 def front_globs(text: Column) -> Column:

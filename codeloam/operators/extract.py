@@ -1,6 +1,6 @@
-"""Declarations, imports, references and complexity of Python sources, by the language's own parser.
+"""Declarations, imports, references and complexity of sources: of Python by the language's own parser, of others by operators.declare.
 
-Each file is parsed once; the result is one row with arrays, to be exploded. A file that does not parse gives nulls.
+Each file is parsed once; the result is one row with arrays, to be exploded. Python that does not parse gives nulls.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.lexing import language_of
+from . import declare
+
 _BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.match_case, ast.comprehension)
 _DEF = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -108,20 +111,42 @@ _TYPES = {
 }
 
 
-def extracted(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """keys, declarations, functions, imports, references of each file, all null where it is no Python. Null contents are left out."""
-    rows = files.where(F.col(content).isNotNull()).select(*keys, content)
+def extracted(files: DataFrame, keys: list[str], content: str = "content", language: str | None = None, path: str | None = None) -> DataFrame:
+    """keys, declarations, functions, imports, references of each file. Null contents are left out.
+
+    language and path name columns; without them all files are taken as Python. A null language follows from the path's
+    ending. All four are null where Python does not parse.
+    """
+    rows = files.where(F.col(content).isNotNull()).select(*keys, content, (F.col(language) if language else F.lit("python")).alias("_language"), (F.col(path) if path else F.lit("")).alias("_path"))
     ddl = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    at = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [parse(t) for t in batch.column(len(keys)).to_pylist()]
+            got = []
+            for t, lang, where in zip(*(batch.column(at + k).to_pylist() for k in range(3))):
+                lang = language_of(lang, where)
+                got.append(parse(t) if lang == "python" else declare.parse(t, lang, where or ""))
             parts = [pa.array([g and g[c] for g in got], pa.list_(t)) for c, t in _TYPES.items()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *parts], names=[*keys, *_TYPES])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *parts], names=[*keys, *_TYPES])
 
     return rows.mapInArrow(run, f"{ddl}, {_RESULT}")
 
 
+def measured(files: DataFrame, keys: list[str], content: str = "content", language: str = "language", path: str = "path") -> DataFrame:
+    """keys, lines, code and complexity of each file by its text. Null contents are left out; an empty text has zeros."""
+    rows = files.where(F.col(content).isNotNull()).select(*keys, F.col(content).alias("_content"), F.col(language).alias("_language"), F.col(path).alias("_path"))
+    ddl = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    at = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [declare.measure(t, language_of(lang, where)) for t, lang, where in zip(*(batch.column(at + k).to_pylist() for k in range(3)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array([g[c] for g in got], pa.int32()) for c in ("lines", "code", "complexity"))], names=[*keys, "lines", "code", "complexity"])
+
+    return rows.mapInArrow(run, f"{ddl}, lines int, code int, complexity int")
+
+
 def relation(parsed: DataFrame, keys: list[str], name: str) -> DataFrame:
     """One of the four relations as rows."""
     return parsed.select(*keys, F.explode(name).alias("_r")).select(*keys, "_r.*")

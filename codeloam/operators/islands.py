@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..runtime import stored
 
-def entries(lines: DataFrame, keys: list[str], stamp: str, probe: int = 200) -> DataFrame:
+
+def entries(lines: DataFrame, keys: list[str], stamp: str, probe: int = 200, opens: Column | None = None) -> DataFrame:
     """Log entries: keys, entry, line_no (of the first line), stamp, text, n_lines.
 
     A line without a time joins the entry above; lines before the first time make one entry. A file without any time in
-    its first `probe` lines has an entry per line. The window holds the lines of one file.
+    its first `probe` lines has an entry per line. `opens` tells of lines that open an entry without a time. The window
+    holds the lines of one file.
     """
+    starts = F.col(stamp).isNotNull() if opens is None else F.col(stamp).isNotNull() | opens
     w = Window.partitionBy(*keys).orderBy("line_no")
-    framed = F.max(F.when((F.col("line_no") <= probe) & F.col(stamp).isNotNull(), 1).otherwise(0)).over(Window.partitionBy(*keys))
-    opens = F.when((F.col("_framed") == 0) | F.col(stamp).isNotNull() | (F.row_number().over(w) == 1), 1).otherwise(0)
-    marked = lines.withColumn("_framed", framed).withColumn("_opens", opens).withColumn("entry", F.sum("_opens").over(w))
+    framed = F.max(F.when((F.col("line_no") <= probe) & starts, 1).otherwise(0)).over(Window.partitionBy(*keys))
+    first = F.when((F.col("_framed") == 0) | starts | (F.row_number().over(w) == 1), 1).otherwise(0)
+    marked = lines.withColumn("_framed", framed).withColumn("_opens", first).withColumn("entry", F.sum("_opens").over(w))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     return marked.groupBy(*keys, "entry").agg(F.min("line_no").alias("line_no"), F.max(stamp).alias("stamp"), text.alias("text"), F.count("*").alias("n_lines"))
 
@@ -33,17 +37,15 @@ def around(rows: DataFrame, keys: list[str], order: str, hit: Column, n: int) ->
 def newest(near: DataFrame, order: list[str], limit: int) -> DataFrame:
     """Of the rows around matches those of the `limit` newest matches. What precedes the last dropped match goes with it; what follows it stays.
 
-    order: total order, oldest first. Only the place of one row comes to the driver.
+    order: total order, oldest first. The rows are kept in the shared folder, so that what frames them runs once; the
+    place of the last match that stays is one row, met by a key of its own.
     """
+    near = stored(near)
+    place = F.struct(*order)
     hits = near.where("hit").orderBy(*[F.col(c).desc() for c in order]).select(*order).limit(limit + 1)
-    kept = hits.collect()  # at most limit + 1 places
-    if len(kept) <= limit:
-        return near
-    last = kept[-1]
-    after = F.lit(False)
-    for k in range(len(order) - 1, -1, -1):
-        after = (F.col(order[k]) > F.lit(last[k])) | ((F.col(order[k]) == F.lit(last[k])) & after)
-    return near.where(after)
+    bound = hits.agg(F.min(place).alias("_bound"), F.count("*").alias("_hits")).withColumn("_one", F.lit(1))
+    met = near.withColumn("_one", F.lit(1)).join(F.broadcast(bound), "_one")  # one row
+    return met.where((F.col("_hits") <= limit) | (place > F.col("_bound"))).drop("_one", "_bound", "_hits")
 
 
 def regions(rows: DataFrame, keys: list[str], line: str, same: list[str]) -> DataFrame:

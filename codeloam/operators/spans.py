@@ -40,13 +40,17 @@ def moved_line(lines: DataFrame, hunks: DataFrame, keys: list[str], line: str) -
     """Where a line lies after edits: `moved`, null if it is inside a changed range. hunks: keys, old_first, old_last, new_first, new_last (an empty range ends before it starts).
 
     Each hunk that ends before the line moves it by the lines it adds less those it takes.
+    Lines and hunks go through one running sum per key in order of lines; nothing is compared pair by pair.
     """
-    per = lines.select(*keys, line).distinct()
-    j = per.join(hunks, keys, "left")
-    inside = F.max(F.when(F.col(line).between(F.col("old_first"), F.col("old_last")), 1).otherwise(0))
-    delta = F.sum(F.when(F.col("old_last") < F.col(line), (F.col("new_last") - F.col("new_first")) - (F.col("old_last") - F.col("old_first"))).otherwise(0))
-    got = j.groupBy(*keys, line).agg(inside.alias("_in"), delta.alias("_d"))
-    return lines.join(got, [*keys, line], "left").withColumn("moved", F.when(F.col("_in") == 0, F.col(line) + F.col("_d"))).drop("_in", "_d")
+    none = [F.lit(0).alias(c) for c in ("_delta", "_in")]
+    at = lines.select(*keys, F.col(line).alias("_at"), F.lit(1).alias("_kind"), *none).distinct()
+    opens = hunks.select(*keys, F.col("old_first").alias("_at"), F.lit(0).alias("_kind"), F.lit(0).alias("_delta"), F.lit(1).alias("_in"))
+    change = (F.col("new_last") - F.col("new_first")) - (F.col("old_last") - F.col("old_first"))
+    closes = hunks.select(*keys, (F.col("old_last") + 1).alias("_at"), F.lit(0).alias("_kind"), change.alias("_delta"), F.lit(-1).alias("_in"))
+    w = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    got = at.unionByName(opens).unionByName(closes).withColumn("_d", F.sum("_delta").over(w)).withColumn("_i", F.sum("_in").over(w)).where("_kind = 1")
+    got = got.select(*keys, F.col("_at").alias(line), "_d", "_i")
+    return lines.join(got, [*keys, line], "left").withColumn("moved", F.when(F.col("_i") == 0, F.col(line) + F.col("_d"))).drop("_i", "_d")
 
 
 def coverage(merged: DataFrame, totals: DataFrame, keys: list[str], total: str) -> DataFrame:

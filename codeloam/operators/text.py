@@ -50,12 +50,18 @@ def submatches(rows: DataFrame, column: str, pattern: str) -> DataFrame:
 
 def multiline(df: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
     """(keys, match, line_no) of matches that may span lines; line_no is that of the match's first character."""
-    found = df.where(F.col(text).rlike(pattern)).select(*keys, text, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1))).alias("_k", "match"))
-    # the text before the k-th match: everything up to it, matched again from the start
-    rest = F.split(F.col(text), pattern, -1)
-    before = F.aggregate(F.slice(rest, F.lit(1), F.col("_k") + 1), F.lit(0), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
-    inside = F.aggregate(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1)), F.lit(1), F.col("_k")), F.lit(0), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
-    return found.select(*keys, "match", (before + inside + 1).alias("line_no"))
+    found = F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1))
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    # the text before each match by itself; one walk over the pairs counts line breaks
+    pairs = F.arrays_zip(F.slice(F.split(F.col(text), pattern, -1), F.lit(1), F.size(found)).alias("b"), found.alias("m"))
+    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<match:string,line_no:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        here = acc["line"] + breaks(x["b"])
+        return F.struct((here + breaks(x["m"])).alias("line"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("match"), here.cast("int").alias("line_no")))).alias("out"))
+
+    rows = df.where(F.col(text).rlike(pattern)).select(*keys, F.explode(F.aggregate(pairs, start, step)["out"]).alias("_m"))
+    return rows.select(*keys, "_m.match", "_m.line_no")
 
 
 def context(rows: DataFrame, keys: list[str], hit: Column, before: int, after: int) -> DataFrame:

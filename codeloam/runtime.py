@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,7 +33,7 @@ def session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where the session names none (tests), a folder of this process, removed at exit."""
+    """The folder of spark.checkpoint.dir. Where a local session names none (tests), a folder of this process, removed at exit; on a cluster that is an error."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if there:
@@ -41,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
         return there
     current = context._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="codeloam-")
         atexit.register(shutil.rmtree, own, True)
         context.setCheckpointDir(f"file://{own}")

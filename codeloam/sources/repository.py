@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import scalars as S
 
 #: Folders that hold what is built, fetched or private to tools.
-SKIPPED = ("node_modules", "vendor", "target", "dist", "build", ".git", ".hg", ".svn", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", ".gradle", ".idea", ".next", "coverage")
+SKIPPED = (".git", ".next", ".venv", "__pycache__", "build", "dist", "node_modules", "venv", "vendor")
 
 
 def _relative(root: str) -> F.Column:
