@@ -22,6 +22,20 @@ def nearest(files: DataFrame, docs: DataFrame, path: str = "path") -> DataFrame:
     return met.groupBy(*files.columns).agg(F.max_by("_doc", "level").alias("doc"))
 
 
+def nearest_folder(files: DataFrame, folders: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
+    """Adds `root`, the deepest of the folders above each file; files without one are dropped. folders: keys, folder."""
+    met = ancestors(files, path).join(folders, [*keys, "folder"])
+    return met.groupBy(*files.columns).agg(F.max_by("folder", "level").alias("root"))
+
+
+def under(files: DataFrame, folders: list[str], path: str = "path") -> DataFrame:
+    """(folder, files' columns): the files below each folder asked for; a folder without files has one row of nulls, so the caller can say so."""
+    spark = files.sparkSession
+    asked = spark.createDataFrame([(f,) for f in folders], "folder string")
+    inside = ancestors(files, path).where(F.col("folder").isin(folders)).select("folder", *files.columns)
+    return asked.join(inside, "folder", "left")
+
+
 def chain(files: DataFrame, docs: DataFrame, path: str = "path") -> DataFrame:
     """All documents in folders above each file, nearest first: `doc` and `distance`."""
     places = docs.select(F.regexp_extract(path, "^(.*)/", 1).alias("folder"), F.col(path).alias("doc")).distinct()

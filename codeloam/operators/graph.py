@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import pinned
 
@@ -53,16 +53,34 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int, reverse: bool
     Level by level: the frontier meets the edges, and what was seen stays out. Ambiguous edges lead on like any other.
     Each level is written to the shared folder.
     """
-    step = _turned(edges, reverse)
-    seen = pinned(starts.select(F.col(starts.columns[0]).alias("start")).distinct().withColumn("node", F.col("start")).withColumn("depth", F.lit(0)))
+    one = starts.select(F.col(starts.columns[0]).alias("start")).distinct().withColumn("node", F.col("start"))
+    return _levels(_turned(edges, reverse), one, "start", max_depth)
+
+
+def _levels(step: DataFrame, seeds: DataFrame, start: str, max_depth: int) -> DataFrame:
+    """(start, node, depth > 0). What was seen of a node pair is one table that grows by a level at a time, kept apart by start."""
+    seen = pinned(seeds.withColumn("depth", F.lit(0)).repartition(start))
     frontier = seen
     for depth in range(1, max_depth + 1):
-        grown = frontier.join(step, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
-        frontier = pinned(grown.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if not frontier.limit(1).count():
+        grown = frontier.join(step, F.col("node") == F.col("a")).select(start, F.col("b").alias("node"), F.lit(depth).alias("depth"))
+        # a pair seen before keeps its lesser depth; one aggregation drops repeats and what is known
+        met = grown.unionByName(seen).groupBy(start, "node").agg(F.min("depth").alias("depth"))
+        seen = pinned(met)
+        frontier = seen.where(F.col("depth") == depth)
+        if depth == max_depth or not frontier.limit(1).count():
             break
-        seen = seen.unionByName(frontier)
-    return seen.where("depth > 0")
+    return seen.where("depth > 0").select(start, "node", "depth")
+
+
+def reachable_of(edges: DataFrame, starts: DataFrame, max_depth: int, reverse: bool = True) -> DataFrame:
+    """(symbol, node, depth): what is reached from the files of each symbol; starts: symbol, start. The files themselves count if another of them leads there."""
+    step = _turned(edges, reverse)
+    first = starts.join(step, F.col("start") == F.col("a")).select("symbol", F.col("b").alias("node")).distinct().withColumn("depth", F.lit(1))
+    level = out = pinned(first)
+    for depth in range(2, max_depth + 1):
+        level = pinned(level.join(step, F.col("node") == F.col("a")).select("symbol", F.col("b").alias("node")).distinct().withColumn("depth", F.lit(depth)))
+        out = out.unionByName(level)
+    return out.groupBy("symbol", "node").agg(F.min("depth").alias("depth"))
 
 
 def ranked_by_reach(edges: DataFrame, max_depth: int, limit: int, reverse: bool = True) -> DataFrame:
@@ -80,11 +98,12 @@ def named_symbols(edges: DataFrame, declared: DataFrame) -> DataFrame:
     return first.join(known, ["target", "symbol"], "left").select("target", F.when(F.col("_k") == 1, F.col("symbol")).alias("symbol"))
 
 
-def top_importers(edges: DataFrame, target: str, limit: int = 10) -> DataFrame:
-    """Who imports a file, those imported most themselves first."""
+def top_importers(edges: DataFrame, limit: int = 10) -> DataFrame:
+    """(target, importer, their_importers): who imports each file, at most `limit`, those imported most themselves first."""
     n = edges.where(F.col("confidence") < AMBIGUOUS).groupBy(F.col("target").alias("importer")).agg(F.count("*").alias("their_importers"))
-    mine = edges.where(F.col("target") == target).select("importer")
-    return mine.join(n, "importer", "left").withColumn("their_importers", F.coalesce("their_importers", F.lit(0))).orderBy(F.desc("their_importers"), "importer").limit(limit)
+    all_ = edges.select("target", "importer").join(n, "importer", "left").select("target", "importer", F.coalesce("their_importers", F.lit(0)).alias("their_importers"))
+    place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("their_importers"), "importer"))
+    return all_.withColumn("_r", place).where(F.col("_r") <= limit).drop("_r")
 
 
 def chain(links: DataFrame, start: DataFrame, max_steps: int) -> DataFrame:

@@ -64,6 +64,28 @@ def pickaxe(changes: DataFrame, counts: DataFrame, blob: str = "blob", n: str =
     return rows.where("was <> is_now").drop("_was", "_is").withColumn("direction", F.when(F.col("was") == 0, "added").when(F.col("is_now") == 0, "removed").otherwise("changed"))
 
 
+def blobs_at(changes: DataFrame, pos: int) -> DataFrame:
+    """(repo, path, blob): what each path holds as of the commit at a position; paths whose last change before it deleted them are gone."""
+    place = F.struct("pos", "seq")
+    last = changes.where(F.col("pos") >= pos).groupBy("repo", "path").agg(F.min_by(F.struct("status", "new_blob"), place).alias("v"))
+    return last.where("v.status not like 'D%'").select("repo", "path", F.col("v.new_blob").alias("blob"))
+
+
+def pickaxe_texts(rows: DataFrame, key: str, old: str, new: str, pattern: str) -> DataFrame:
+    """(key, was, is_now, direction) of rows whose two texts hold a different number of matches; -1 stands for a binary text."""
+    from .text import pattern_count
+
+    n = rows.select(key, F.coalesce(pattern_count(F.col(old), pattern), F.lit(0)).alias("was"), F.coalesce(pattern_count(F.col(new), pattern), F.lit(0)).alias("is_now")).where("was <> is_now")
+    return n.withColumn("direction", F.when(F.col("was") == 0, "added").when(F.col("is_now") == 0, "removed").otherwise("changed"))
+
+
+def confirmed(rows: DataFrame, key: str, old: str, new: str, pattern: str) -> DataFrame:
+    """Keys for which a line with a match is on one side more often than on the other: what a count alone cannot tell."""
+    line = lambda c, n: rows.select(key, F.explode(F.split(c, "\n", -1)).alias("_line"), F.lit(n).alias("_n"))
+    both = line(old, -1).unionByName(line(new, 1)).where(F.col("_line").rlike(pattern))
+    return both.groupBy(key, "_line").agg(F.sum("_n").alias("_d")).where("_d <> 0").select(key).distinct()
+
+
 def newest_and_oldest(rows: DataFrame, keys: list[str], pos: str, newest: int = 29) -> DataFrame:
     """The newest rows of each key and its oldest. No group is gathered: the ranks of Window group limits stop early."""
     w = Window.partitionBy(*keys).orderBy(pos)
@@ -106,6 +128,21 @@ def branches(refs: DataFrame, head: str, as_of: str, stale_days: int = 21) -> Da
     return rows.where(is_head | (fresh & ~F.col("branch").rlike("^(?:feature|feat|fix|bugfix|hotfix|chore|dependabot|renovate)/"))).orderBy(is_head.desc(), F.desc("date"), "branch")
 
 
+def greedy_fit(rows: DataFrame, keys: list[str], order: list[str], size: str, budget: int, most: int) -> DataFrame:
+    """Of the first `most` rows of each key in order those that still fit the budget; one that does not is passed over, later ones may fit."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    short = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    listed = F.array_sort(F.collect_list(F.struct(F.col("_r").alias("r"), F.col(size).cast("long").alias("n"))))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = acc["used"] + x["n"] <= budget
+        return F.struct(F.when(fits, acc["used"] + x["n"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["r"]))).otherwise(acc["kept"]).alias("kept"))
+
+    kept = short.groupBy(*keys).agg(F.aggregate(listed, start, step)["kept"].alias("_kept")).select(*keys, F.explode("_kept").alias("_r"))
+    return short.join(kept, [*keys, "_r"], "left_semi").drop("_r")
+
+
 def greedy(rows: list[tuple], budget: int) -> list[tuple]:
     """Of (name, size) in order those that still fit the budget; one that does not is passed over, later ones may fit. For short lists on the driver."""
     out, used = [], 0

@@ -13,6 +13,30 @@ from ..functions.scalars import same_name
 TYPE_KINDS = ("class", "struct", "interface", "enum", "module", "impl", "trait", "type")
 
 
+def file_local(declarations: DataFrame) -> DataFrame:
+    """Adds `file_local`: seen from its file alone. Not in Rust, where modules decide, nor where a trait or interface holds it. Needs repo, path, idx, parent, visibility, kind, language."""
+    holders = declarations.where("kind in ('trait', 'interface')").select("repo", "path", F.col("idx").alias("parent"), F.lit(True).alias("_held"))
+    j = declarations.join(holders, ["repo", "path", "parent"], "left")
+    return j.withColumn("file_local", F.coalesce(F.col("visibility") == 0, F.lit(False)) & (F.lower("language") != "rust") & F.col("_held").isNull()).drop("_held")
+
+
+def symbol_reach(declarations: DataFrame, references: DataFrame) -> DataFrame:
+    """(repo, path, symbol, reach): how many other files use a name that the file declares. Counted, never listed: the file's own use is taken off."""
+    own = declarations.select("repo", "path", F.lower("name").alias("symbol")).where("symbol is not null").distinct()
+    used = references.select("repo", "path", F.lower("name").alias("symbol")).distinct()
+    n = used.groupBy("repo", "symbol").agg(F.count("*").alias("_n"))
+    self = used.withColumn("_self", F.lit(1))
+    j = own.join(n, ["repo", "symbol"], "left").join(self, ["repo", "path", "symbol"], "left")
+    return j.select("repo", "path", "symbol", (F.coalesce("_n", F.lit(0)) - F.coalesce("_self", F.lit(0))).alias("reach"))
+
+
+def symbol_counts(declarations: DataFrame, references: DataFrame) -> DataFrame:
+    """(repo, symbol, defined_in, used_in): numbers of files per lower-case name."""
+    n = lambda df, name: df.select("repo", F.lower("name").alias("symbol"), "path").distinct().groupBy("repo", "symbol").agg(F.count("*").alias(name))
+    j = n(declarations, "defined_in").join(n(references, "used_in"), ["repo", "symbol"], "full_outer")
+    return j.select("repo", "symbol", F.coalesce("defined_in", F.lit(0)).alias("defined_in"), F.coalesce("used_in", F.lit(0)).alias("used_in"))
+
+
 def symbols(declarations: DataFrame, references: DataFrame) -> DataFrame:
     """(repo, symbol, defined_in, used_in): sorted files per lower-case name."""
     d = declarations.groupBy("repo", F.lower("name").alias("symbol")).agg(F.array_sort(F.collect_set("path")).alias("defined_in"))

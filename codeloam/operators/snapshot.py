@@ -12,6 +12,34 @@ def keyed_diff(base: DataFrame, head: DataFrame, keys: list[str], values: list[s
     return j.select(*keys, F.when(F.col("_in_a").isNull(), "added").when(F.col("_in_b").isNull(), "removed").when(F.col("_a").eqNullSafe(F.col("_b")), "same").otherwise("changed").alias("state"))
 
 
+def surface_delta(base: DataFrame, head: DataFrame, keys: list[str], values: list[str], places: list[str]) -> DataFrame:
+    """keys, state: as keyed_diff(), with `moved` for rows of which only the places differ."""
+    one = lambda df, p: df.select(*keys, F.struct(*values).alias(f"_{p}"), F.struct(*places).alias(f"_at_{p}"), F.lit(1).alias(f"_in_{p}"))
+    j = one(base, "a").join(one(head, "b"), keys, "full_outer")
+    state = F.when(F.col("_in_a").isNull(), "added").when(F.col("_in_b").isNull(), "removed").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
+    return j.select(*keys, state.when(~F.col("_at_a").eqNullSafe(F.col("_at_b")), "moved").otherwise("same").alias("state"))
+
+
+def bodies(rows: DataFrame, content: str, first: str, last: str) -> DataFrame:
+    """Adds `body`, the lines from first to last of each row's text."""
+    n = F.greatest(F.col(last) - F.col(first) + 1, F.lit(0))
+    return rows.withColumn("body", F.array_join(F.slice(F.split(content, "\n", -1), F.col(first), n), "\n"))
+
+
+def changed_bodies(base: DataFrame, head: DataFrame, keys: list[str], body: str) -> DataFrame:
+    """Keys of both sides whose bodies differ."""
+    return base.join(head.withColumnRenamed(body, "_other"), keys).where(F.col(body) != F.col("_other")).select(*keys)
+
+
+def new_side(rows: DataFrame, status: str, hunk: str) -> DataFrame:
+    """Adds first and last, the changed lines on the new side; an added file is changed from 1 to the end."""
+    from ..functions.scalars import hunk_range
+
+    h = hunk_range(hunk)
+    added = F.col(status) == "A"
+    return rows.withColumn("first", F.when(added, 1).otherwise(h["first"])).withColumn("last", F.when(added, 2147483647).otherwise(h["last"]))
+
+
 def with_ordinal(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """Numbers rows of equal keys from 0 in a total order: column `ordinal`."""
     return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)

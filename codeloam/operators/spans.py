@@ -53,6 +53,18 @@ def moved_line(lines: DataFrame, hunks: DataFrame, keys: list[str], line: str) -
     return lines.join(got, [*keys, line], "left").withColumn("moved", F.when(F.col("_i") == 0, F.col(line) + F.col("_d"))).drop("_i", "_d")
 
 
+def inferred_ends(rows: DataFrame, keys: list[str], line: str, order: str, depth: str, deepest: int, lines: str) -> DataFrame:
+    """Adds `last`: where a row without an end stops, the line before the next row that lies no deeper, else the last line of its file.
+
+    Depths are 0 .. deepest; for each a window over the file finds the next row up to it.
+    """
+    w = Window.partitionBy(*keys).orderBy(line, order).rowsBetween(1, Window.unboundedFollowing)
+    after = F.lit(None)
+    for d in range(deepest, -1, -1):
+        after = F.when(F.col(depth) == d, F.first(F.when(F.col(depth) <= d, F.col(line)), ignorenulls=True).over(w)).otherwise(after)
+    return rows.withColumn("_next", after).withColumn("last", F.greatest(F.col(line), F.coalesce(F.col("_next") - 1, F.col(lines)))).drop("_next")
+
+
 def coverage(merged: DataFrame, totals: DataFrame, keys: list[str], total: str) -> DataFrame:
     """Lines read and their share, from the result of periods(); a file of 0 lines is wholly read, one never read is not at all."""
     got = merged.groupBy(*keys).agg(F.sum(F.col("period_end") - F.col("period_start") + 1).alias("lines_read"))

@@ -257,8 +257,7 @@ def reference_counts(spark, d):
 @query(f"""WITH {_REF}, {_D}, a AS (SELECT repo, lower(name) AS symbol, count(DISTINCT path) AS n FROM d JOIN (SELECT repo, path FROM f WHERE language IS NOT NULL) USING (repo, path) GROUP BY ALL), u AS (SELECT repo, lower(name) AS symbol, count(DISTINCT path) AS n FROM ref GROUP BY ALL)
 SELECT repo, symbol, coalesce(a.n, 0) AS defined_in, coalesce(u.n, 0) AS used_in FROM a FULL JOIN u USING (repo, symbol)""")
 def symbol_index(spark, d):
-    s = R.symbols(located(spark, d), references(spark, d))
-    return s.select("repo", "symbol", F.size("defined_in").alias("defined_in"), F.size("used_in").alias("used_in"))
+    return R.symbol_counts(located(spark, d), references(spark, d))
 
 
 _TYPES = "('class', 'struct', 'interface', 'enum', 'module', 'impl', 'trait', 'type')"

@@ -170,8 +170,10 @@ def rules_for_files(spark, d):
 def documents_not_loaded(spark, d):
     """How many files of their repositories each agent has not opened."""
     r = table(spark, d, "read_ranges").select("agent", "repo", "file").distinct()
-    wanted = r.select("agent", "repo").distinct().join(r.select("repo", "file").distinct(), "repo")
-    return D.missing(wanted, r, ["agent", "repo", "file"]).groupBy("agent").agg(F.count("*").alias("not_read"))
+    # counts only: what a repository has less what the agent read of it
+    has = r.groupBy("repo").agg(F.countDistinct("file").alias("has"))
+    left = r.groupBy("agent", "repo").agg(F.count("*").alias("read")).join(has, "repo").withColumn("left", F.col("has") - F.col("read"))
+    return left.groupBy("agent").agg(F.sum("left").alias("not_read")).where("not_read > 0")
 
 
 @query("""SELECT doc_kind, source, count(*) AS documents, sum(length(text)) AS chars FROM documents GROUP BY doc_kind, source""")
@@ -185,11 +187,10 @@ def document_links(spark, d):
     return D.links(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("""SELECT source, count(*) AS n, sha256(string_agg(doc_id || ':' || coalesce(n_chars, 0), ',' ORDER BY doc_id)) AS key FROM documents WHERE source IS NOT NULL GROUP BY source""")
+@query("""SELECT source, count(*) AS n, CAST(sum(CAST(('0x' || substring(sha256(doc_id || ':' || coalesce(n_chars, 0)), 1, 12)) AS BIGINT)) AS VARCHAR) AS fingerprint FROM documents WHERE source IS NOT NULL GROUP BY source""")
 def folder_fingerprints(spark, d):
     one = F.concat(F.col("doc_id"), F.lit(":"), F.coalesce("n_chars", F.lit(0)))
-    x = table(spark, d, "documents").where("source is not null").withColumn("p", F.lpad(F.col("doc_id"), 20, "0")).withColumn("v", one)
-    return D.fingerprints(x, "source", "p", "v")
+    return D.fingerprints(table(spark, d, "documents").where("source is not null").withColumn("v", one), "source", "v")
 
 
 @query("""WITH d AS (SELECT doc_id, source, length(text) AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL), w AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d) SELECT doc_id, CASE WHEN upto <= 30000 THEN 'whole' WHEN upto - n < 30000 THEN 'cut' ELSE 'queued' END AS state FROM w""")

@@ -11,12 +11,14 @@ from ..operators import docs as D, graph as G, history as H, modules as M, resol
 from ..runtime import shared_dir
 from ..sources import repository as Y, sinks as K
 from ..sources.tables import table
-from .code import _D, _EDGES, _F, _KEY, _REF, _SITES, _TREE, declared, filed, import_edges, import_rows, located, references, sites, tree_of
+from .code import _D, _EDGES, _F, _KEY, _REF, _SITES, _SRC, _TREE, declared, filed, import_edges, import_rows, located, references, sites, tree_of
 from .history import _H, changes, commits
 from .registry import Registry
 
 query = Registry()
 _NOW = "2024-12-31"
+#: What _EDGES adds to the lines of the sources.
+_LINKS = _EDGES[len(_SRC):]
 
 
 def _node(c: str) -> F.Column:
@@ -149,7 +151,7 @@ def front_matter_globs(spark, d):
 
 # resolution
 
-@query(f"""WITH {_SITES}, {_EDGES.split('f AS')[0]}{_EDGES[_EDGES.index(', i AS') + 2:]}, fn AS (SELECT d.repo, d.path AS target_path, d.idx AS target_idx FROM d JOIN f USING (repo, path) WHERE d.kind IN ('function', 'class') AND f.language IS NOT NULL),
+@query(f"""WITH {_SITES}{_LINKS}, fn AS (SELECT d.repo, d.path AS target_path, d.idx AS target_idx FROM d JOIN f USING (repo, path) WHERE d.kind IN ('function', 'class') AND f.language IS NOT NULL),
 u AS (SELECT s.repo, s.target_path, s.target_idx, s.path, s.line, min(confidence) AS confidence FROM sites s WHERE confidence IS NOT NULL GROUP BY ALL), m AS (SELECT fn.*, u.path, u.line, u.confidence FROM fn JOIN u USING (repo, target_path, target_idx)),
 im AS (SELECT fn.*, substring(e.importer, length(fn.repo) + 2) AS path, CAST(NULL AS INTEGER) AS line, e.confidence FROM fn JOIN edges e ON e.target = fn.repo || ':' || fn.target_path WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.repo = fn.repo AND u.target_path = fn.target_path AND u.target_idx = fn.target_idx))
 SELECT * FROM m UNION ALL SELECT * FROM im""")
@@ -161,7 +163,7 @@ def callers_with_importers(spark, d):
     return R.callers(asked.join(used, ["repo", "target_path", "target_idx"], "left"), edges)
 
 
-@query(f"""WITH {_REF}, {_EDGES[_EDGES.index('i AS (SELECT'):_EDGES.index(', st AS')].rstrip().rstrip(',')}, b AS (SELECT DISTINCT repo, path, regexp_extract(module, '[^./:]*$') AS name FROM i) SELECT ref.repo, ref.path, ref.line, ref.name, ref.shape, ref.receiver FROM ref LEFT JOIN b USING (repo, path, name) WHERE b.name IS NULL""")
+@query(f"""WITH {_REF}{_LINKS.split(',' + chr(10) + 'st AS')[0]}, b AS (SELECT DISTINCT repo, path, regexp_extract(module, '[^./:]*$') AS name FROM i) SELECT ref.repo, ref.path, ref.line, ref.name, ref.shape, ref.receiver FROM ref LEFT JOIN b USING (repo, path, name) WHERE b.name IS NULL""")
 def references_not_bound(spark, d):
     """References to names that the file does not bind to something outside."""
     bound = import_rows(spark, d).select("repo", "path", S.tail("module").alias("name"))
@@ -186,10 +188,10 @@ def resolved_lines(spark, d):
     return M.resolved_at(sites(spark, d))
 
 
-@query(f"""WITH {_REF}, {_D}, w AS (SELECT DISTINCT repo, name FROM ref WHERE shape = 'Free'), m AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.repo = w.repo AND d.name = w.name)) SELECT DISTINCT m.repo, m.name, f.path FROM m JOIN f ON f.repo = m.repo AND lower(regexp_replace(regexp_extract(f.path, '[^/]*$'), '\\.[^.]*$', '')) = lower(m.name)""")
+@query(f"""WITH {_REF}, {_D}{_LINKS.split(',' + chr(10) + 'st AS')[0]}, w AS (SELECT DISTINCT repo, regexp_extract(module, '[^./:]*$') AS name FROM i), m AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.repo = w.repo AND d.name = w.name)) SELECT DISTINCT m.repo, m.name, f.path FROM m JOIN f ON f.repo = m.repo AND lower(regexp_replace(regexp_extract(f.path, '[^/]*$'), '\\.[^.]*$', '')) = lower(m.name)""")
 def modules_named(spark, d):
-    """Files named like a symbol that nothing declares."""
-    names = references(spark, d).where("shape = 'Free'").select("repo", "name").distinct()
+    """Files named like an imported module that nothing declares."""
+    names = import_rows(spark, d).select("repo", S.tail("module").alias("name")).distinct()
     return M.stems_named(names, filed(spark, d), declared(spark, d))
 
 
@@ -283,11 +285,11 @@ def symbol_usages(spark, d):
     return reach.groupBy("symbol").agg(F.countDistinct("node").alias("files"))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, s AS (SELECT importer AS start, target AS node, 1 AS step FROM edges WHERE regexp_matches(importer, '(data|codes|config)[^/]*$') UNION SELECT s.start, e.target, s.step + 1 FROM s JOIN edges e ON e.importer = s.node WHERE s.step < 4 AND e.target <> s.start) SELECT start, node, CAST(min(step) AS INTEGER) AS step FROM s GROUP BY start, node""")
+@query(f"""WITH RECURSIVE {_EDGES}, s AS (SELECT importer AS start, target AS node, 1 AS step FROM edges WHERE contains(importer, ':src/') UNION SELECT s.start, e.target, s.step + 1 FROM s JOIN edges e ON e.importer = s.node WHERE s.step < 4 AND e.target <> s.start) SELECT start, node, CAST(min(step) AS INTEGER) AS step FROM s GROUP BY start, node""")
 def included_files(spark, d):
     """What some files take in, over at most four links."""
     e = import_edges(spark, d)
-    starts = e.where(F.col("importer").rlike("(data|codes|config)[^/]*$")).select("importer").distinct()
+    starts = e.where(F.col("importer").contains(":src/")).select("importer").distinct()
     return D.includes(e.select(F.col("importer").alias("source"), "target"), starts)
 
 
@@ -337,13 +339,13 @@ def branch_candidates(spark, d):
     return H.branches(refs, "main", _NOW).select("branch", F.col("date").cast("string").alias("day"))
 
 
-@query(f"""WITH {_H}, {_D}, b AS (SELECT DISTINCT repo, path, sha, line_start, line_end, author_time FROM blame_regions), t AS (SELECT d.repo, d.path, d.idx, b.sha, max(b.author_time) AS at FROM b JOIN d ON d.repo = b.repo AND d.path = b.path AND d.line <= b.line_end AND b.line_start <= d.end_line WHERE d.kind IN ('function', 'method') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY repo, path, idx ORDER BY at DESC, sha) AS k FROM t) SELECT repo, path, idx, sha, at FROM r WHERE k <= 20""")
+@query(f"""WITH {_H}, {_D}, b AS (SELECT DISTINCT repo, path, sha, line_start, line_end, author_time FROM blame_regions), t AS (SELECT d.repo, d.path, d.idx, b.sha, max(b.author_time) AS touched_at FROM b JOIN d ON d.repo = b.repo AND d.path = b.path AND d.line <= b.line_end AND b.line_start <= d.end_line WHERE d.kind IN ('function', 'method') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY repo, path, idx ORDER BY touched_at DESC, sha) AS k FROM t) SELECT repo, path, idx, sha, touched_at FROM r WHERE k <= 20""")
 def function_history(spark, d):
     """The newest 20 commits in the lines of each function."""
     b = table(spark, d, "blame_regions").select(*_KEY, "sha", "line_start", "line_end", "author_time").distinct()
     f = declared(spark, d).where("kind in ('function', 'method')").select(*_KEY, "idx", "line", "end_line")
-    t = P.overlapping(b, f, _KEY, "line_start", "line_end", "line", "end_line").groupBy(*_KEY, "idx", "sha").agg(F.max("author_time").alias("at"))
-    return t.withColumn("k", F.row_number().over(Window.partitionBy(*_KEY, "idx").orderBy(F.desc("at"), "sha"))).where("k <= 20").drop("k")
+    t = P.overlapping(b, f, _KEY, "line_start", "line_end", "line", "end_line").groupBy(*_KEY, "idx", "sha").agg(F.max("author_time").alias("touched_at"))
+    return t.withColumn("k", F.row_number().over(Window.partitionBy(*_KEY, "idx").orderBy(F.desc("touched_at"), "sha"))).where("k <= 20").drop("k")
 
 
 @query(f"""WITH {_H}, n AS (SELECT repo, path, min(substring(status, 1, 1)) AS s, max(seq) AS q FROM x WHERE pos < 5 GROUP BY repo, path) SELECT repo, path, CASE s WHEN 'A' THEN 'added' WHEN 'D' THEN 'deleted' WHEN 'R' THEN 'renamed' WHEN 'C' THEN 'copied' WHEN 'M' THEN 'modified' WHEN 'T' THEN 'type changed' ELSE 'unknown' END AS state, CASE WHEN s = 'A' THEN 1 ELSE q END AS first, CASE WHEN s = 'A' THEN 2147483647 ELSE q + 2 END AS last FROM n""")
@@ -355,13 +357,13 @@ def changed_ranges(spark, d):
 
 # contents of two states
 
-_TWO = f"{_F}, fc AS (SELECT path, min(repo) AS a, max(repo) AS b FROM f WHERE content IS NOT NULL GROUP BY path HAVING count(*) > 1), tw AS (SELECT fc.path, x.content AS old, y.content AS new FROM fc JOIN f x ON x.path = fc.path AND x.repo = fc.a JOIN f y ON y.path = fc.path AND y.repo = fc.b)"
+_TWO = f"{_F}, fn AS (SELECT regexp_extract(path, '[^/]*$') AS path, repo || ':' || path AS k, content FROM f WHERE content IS NOT NULL), tw AS (SELECT path, arg_min(content, k) AS old, arg_max(content, k) AS new FROM fn GROUP BY path HAVING count(*) > 1)"
 
 
 def _two(spark: SparkSession, d: str) -> DataFrame:
-    """(path, old, new): the texts of a path in two repositories, as two states of it."""
-    f = filed(spark, d).where("content is not null")
-    return f.groupBy("path").agg(F.min_by("content", "repo").alias("old"), F.max_by("content", "repo").alias("new"), F.count("*").alias("n")).where("n > 1").drop("n")
+    """(path, old, new): the texts of the first and the last file of a name, as two states of it."""
+    f = filed(spark, d).where("content is not null").select(S.base_name("path").alias("path"), _node("path").alias("k"), "content")
+    return f.groupBy("path").agg(F.min_by("content", "k").alias("old"), F.max_by("content", "k").alias("new"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
 @query(f"""WITH {_TWO}, n AS (SELECT path, len(regexp_extract_all(old, 'return')) AS was, len(regexp_extract_all(new, 'return')) AS is_now FROM tw) SELECT path, was, is_now, CASE WHEN was = 0 THEN 'added' WHEN is_now = 0 THEN 'removed' ELSE 'changed' END AS direction FROM n WHERE was <> is_now""")

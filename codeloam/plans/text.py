@@ -158,16 +158,25 @@ def pattern_counts(spark, d):
 
 # log entries of the documents
 
-_STAMP = "CASE WHEN regexp_matches(substring(line, 1, 64), '\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}') THEN TRY_CAST(regexp_replace(regexp_extract(substring(line, 1, 64), '\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}(?::\\d{2})?'), 'T', ' ') AS TIMESTAMP) END"
+_ISO, _CLF, _PHP, _SYS = r"(\d{4})[-/](\d{2})[-/](\d{2})[T ](\d{2}):(\d{2}):(\d{2})", r"\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}", r"\d{1,2}-[A-Za-z]{3}-\d{4}[ :]\d{2}:\d{2}:\d{2}", r"^[A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}"
+
+
+def _time(text: str) -> str:
+    """The first form that gives a time, in SQL."""
+    iso = f"TRY_CAST(regexp_replace(regexp_extract({text}, '{_ISO}'), '{_ISO}', '\\1-\\2-\\3 \\4:\\5:\\6') AS TIMESTAMP)"
+    return f"coalesce({iso}, try_strptime(regexp_extract({text}, '{_CLF}'), '%d/%b/%Y:%H:%M:%S'), try_strptime(replace(regexp_extract({text}, '{_PHP}'), ' ', ':'), '%d-%b-%Y:%H:%M:%S'), try_strptime('1970 ' || regexp_replace(regexp_extract({text}, '{_SYS}'), '\\s+', ' ', 'g'), '%Y %b %d %H:%M:%S'))"
+
+
+_STAMP = f"coalesce({_time('substring(line, 1, 64)')}, CASE WHEN starts_with(ltrim(line), '{{') THEN {_time('line')} END)"
 _ENTRIES = f"""{LINES}, t AS (SELECT *, {_STAMP} AS stamp FROM l),
-r AS (SELECT *, max(CASE WHEN line_no <= 200 AND stamp IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS framed FROM t),
-o AS (SELECT *, CASE WHEN framed = 0 OR stamp IS NOT NULL OR line_no = 1 THEN 1 ELSE 0 END AS opens FROM r),
+r AS (SELECT *, max(CASE WHEN line_no <= 200 AND (stamp IS NOT NULL OR starts_with(ltrim(line), '{{')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS framed FROM t),
+o AS (SELECT *, CASE WHEN framed = 0 OR stamp IS NOT NULL OR starts_with(ltrim(line), '{{') OR line_no = 1 THEN 1 ELSE 0 END AS opens FROM r),
 q AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY line_no) AS entry FROM o),
 e AS (SELECT doc_id, entry, min(line_no) AS line_no, max(stamp) AS stamp, string_agg(line, chr(10) ORDER BY line_no) AS text, count(*) AS n_lines FROM q GROUP BY doc_id, entry)"""
 
 
 def log_entries(spark: SparkSession, d: str) -> DataFrame:
-    return islands.entries(doc_lines(spark, d).withColumn("stamp", S.stamp(F.when(F.col("line").rlike("^.{0,63}\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}"), F.col("line")))), ["doc_id"], "stamp")
+    return islands.entries(doc_lines(spark, d).withColumn("stamp", S.stamp("line")), ["doc_id"], "stamp", opens=S.is_object("line"))
 
 
 @query(f"WITH {_ENTRIES} SELECT doc_id, CAST(entry AS BIGINT) AS entry, line_no, n_lines, length(text) AS width FROM e")
@@ -177,7 +186,8 @@ def log_framing(spark, d):
 
 @query(f"WITH {_ENTRIES} SELECT doc_id, line_no FROM e WHERE regexp_matches(text, 'ERROR') AND (stamp IS NULL OR stamp BETWEEN TIMESTAMP '2024-03-01 00:00:00' AND TIMESTAMP '2024-06-30 23:59:59')")
 def log_window(spark, d):
-    w = F.col("stamp").isNull() | F.col("stamp").between(F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"), F.lit("2024-06-30 23:59:59").cast("timestamp_ntz"))
+    since, until = (F.lit(S.window_bound(x, "2024-01-01", end)).cast("timestamp_ntz") for x, end in (("2024-03-01", False), ("2024-06-30", True)))
+    w = F.col("stamp").isNull() | F.col("stamp").between(since, until)
     return log_entries(spark, d).where(F.col("text").rlike("ERROR") & w).select("doc_id", "line_no")
 
 
@@ -238,7 +248,7 @@ def scalar_spans(spark, d):
     return table(spark, d, "blame_regions").select("author_time").distinct().select("author_time", S.civil_date("author_time").cast("string").alias("day"), S.humanize_seconds(F.lit(1735689600) - F.col("author_time")).alias("span"))
 
 
-@query("""SELECT DISTINCT repo, path, idx, header, regexp_extract(header, '^\\s*((?:.|\\n)*?[.!?])(?:\\s|$)', 1) AS sentence, CASE WHEN length(trim(header)) <= 20 THEN trim(header) ELSE rtrim(substring(trim(header), 1, 19)) || '…' END AS clipped, length(header) AS width FROM declarations""")
+@query("""SELECT DISTINCT repo, path, idx, header, regexp_extract(header, '^\\s*((?:.|\\n)*?[.!?])(?:\\s|$)', 1) AS sentence, CASE WHEN length(header) <= 20 THEN header ELSE rtrim(substring(header, 1, 19)) || '…' END AS clipped, length(header) AS width FROM declarations""")
 def scalar_texts(spark, d):
     return table(spark, d, "declarations").select("repo", "path", "idx", "header", S.first_sentence("header").alias("sentence"), S.clip("header", 20).alias("clipped"), S.utf16_width("header").alias("width")).distinct()
 
