@@ -82,6 +82,18 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return function_pairs(table(spark, d, "files"), table(spark, d, "declarations"))
 
 
+def p1_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the code of every function that stands where the table says, with or without documentation."""
+    files, declared = table(spark, d, "files"), table(spark, d, "declarations")
+    code = function_pairs(files, declared, 0, ["repo", "path", "idx", "code"])
+    lines = code.select("repo", "path", "idx", (F.length("code") - F.length(F.replace("code", F.lit("\n"), F.lit(""))) + 1).alias("lines"))
+    text = files.where("content is not null").groupBy("repo", "path").agg(F.replace(F.max("content"), F.lit("\r\n"), F.lit("\n")).alias("t"))
+    first = F.trim(F.substring_index("header", "\n", 1))
+    at = declared.groupBy("repo", "path", "idx").agg(F.max("header").alias("header"), F.max("line").alias("line")).where("line >= 1")
+    there = at.join(text, ["repo", "path"]).where(F.trim(F.get(F.split("t", "\n", -1), F.col("line") - 1)) == first)
+    return lines.join(there.select("repo", "path", "idx"), ["repo", "path", "idx"])
+
+
 def p7_containers(spark: SparkSession, d: str, capacity: int = 2048) -> DataFrame:
     """The container of every text, or of every piece of a text that is larger than one."""
     return pack(table(spark, d, "documents"), capacity)
@@ -106,7 +118,7 @@ def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_reasons, p3_found, p3_percentiles, p4_found, p4_pairs, p7_containers, p7_fill, p8_found, p9_found, p9_shapes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_bodies, p2_found, p2_reasons, p3_found, p3_percentiles, p4_found, p4_pairs, p7_containers, p7_fill, p8_found, p9_found, p9_shapes)}
 
 _PAIRS = """
 WITH c AS (SELECT DISTINCT repo, commit_id, regexp_replace(replace(path, chr(92), '/'), '^\\./', '') AS path FROM file_changes WHERE path IS NOT NULL AND commit_id IS NOT NULL),
@@ -124,6 +136,10 @@ WITH r AS (SELECT repo, path, measured_on, language, complexity, row_number() OV
 v AS (SELECT repo, language, complexity AS c, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY repo, language) AS n FROM r WHERE k = 1 AND complexity >= 0 WINDOW w AS (PARTITION BY repo, language ORDER BY complexity)),
 s AS (SELECT repo, language, n, (max(CASE WHEN i = (n - 1) // 2 THEN c END) + max(CASE WHEN i = n // 2 THEN c END)) // 2 AS median, max(CASE WHEN i = greatest(CAST(floor(n * 0.9) AS BIGINT) - 1, 0) THEN c END) AS p90 FROM v GROUP BY repo, language, n)
 SELECT repo, language FROM s WHERE n >= 50 AND p90 >= 8 * median""",
+    "p1_bodies": """
+WITH f AS (SELECT repo, path, replace(max(content), chr(13) || chr(10), chr(10)) AS t FROM files WHERE content IS NOT NULL GROUP BY repo, path),
+d AS (SELECT repo, path, idx, max(header) AS header, max(line) AS line, max(end_line) AS end_line FROM declarations WHERE kind IN ('function', 'method') GROUP BY repo, path, idx)
+SELECT d.repo, d.path, d.idx, len(string_split(rtrim(array_to_string(list_slice(string_split(t, chr(10)), line, end_line), chr(10)), ' ' || chr(9) || chr(10)), chr(10))) AS lines FROM d JOIN f USING (repo, path) WHERE line >= 1 AND trim(string_split(t, chr(10))[line]) = trim(string_split(header, chr(10))[1])""",
     "p4_found": _PAIRS + "SELECT repo, path_a, path_b FROM r WHERE n_ab * records >= 4 * n_a * n_b",
     "p4_pairs": _PAIRS + """SELECT repo, path_a, path_b, n_ab, n_a, n_b, records, round(n_ab * records / CAST(n_a * n_b AS DOUBLE), 6) AS lift,
   round((n_ab + 0.5) * (records - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5)), 6) AS odds_ratio FROM r""",
