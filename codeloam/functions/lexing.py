@@ -267,7 +267,9 @@ class Bare:
                     end = i
                 continue
             if not self.bare[i].strip() and not self._string_on(i):
-                continue  # blank or a comment
+                if self.lines[i].strip() and len(self.lines[i]) - len(self.lines[i].lstrip()) > indent:
+                    end = i  # a comment of the body
+                continue
             if len(self.lines[i]) - len(self.lines[i].lstrip()) <= indent:
                 return end
             end = i

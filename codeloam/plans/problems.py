@@ -72,6 +72,17 @@ SQL = {
     "p5_found": _LINKS + """
 SELECT l.repo, l.path, l.idx, coalesce(w.root_idx, -1) AS root_idx, coalesce(w.depth, -1) AS depth
 FROM l LEFT JOIN w ON w.repo = l.repo AND w.path = l.path AND w.idx = l.idx WHERE l.parent IS NOT NULL""",
+    "p5_tree": _LINKS + """,
+cl AS (SELECT l.repo, l.path, l.idx, l.parent AS above FROM l LEFT JOIN w ON w.repo = l.repo AND w.path = l.path AND w.idx = l.idx WHERE w.idx IS NULL
+  UNION SELECT cl.repo, cl.path, cl.idx, l.parent FROM cl JOIN l ON l.repo = cl.repo AND l.path = cl.path AND l.idx = cl.above),
+ring AS (SELECT repo, path, idx FROM cl WHERE idx = above),
+mem AS (SELECT cl.repo, cl.path, cl.idx, string_agg(CAST(cl.above AS VARCHAR), ',' ORDER BY cl.above) AS members FROM cl JOIN ring r ON r.repo = cl.repo AND r.path = cl.path AND r.idx = cl.idx GROUP BY cl.repo, cl.path, cl.idx),
+c AS (SELECT l.repo, l.path, l.parent AS idx, l.idx AS d FROM l JOIN w ON w.repo = l.repo AND w.path = l.path AND w.idx = l.idx WHERE l.parent IS NOT NULL
+  UNION ALL SELECT c.repo, c.path, l.parent, c.d FROM c JOIN l ON l.repo = c.repo AND l.path = c.path AND l.idx = c.idx WHERE l.parent IS NOT NULL),
+n AS (SELECT repo, path, idx, count(*) AS n FROM c GROUP BY repo, path, idx)
+SELECT l.repo, l.path, l.idx, coalesce(w.full_name, '') AS full_name, coalesce(w.depth, -1) AS depth, coalesce(n.n, 0) AS n_descendants,
+ CASE WHEN w.depth = 0 THEN 'root' WHEN w.depth > 0 THEN 'node' WHEN mem.members IS NOT NULL THEN 'loop' ELSE 'below_loop' END AS status, coalesce(mem.members, '') AS loop_members
+FROM l LEFT JOIN w ON w.repo = l.repo AND w.path = l.path AND w.idx = l.idx LEFT JOIN n ON n.repo = l.repo AND n.path = l.path AND n.idx = l.idx LEFT JOIN mem ON mem.repo = l.repo AND mem.path = l.path AND mem.idx = l.idx""",
     "p5_descendants": _LINKS + """,
 c AS (SELECT l.repo, l.path, l.parent AS idx, l.idx AS descendant_idx, 1 AS steps FROM l JOIN w ON w.repo = l.repo AND w.path = l.path AND w.idx = l.idx WHERE l.parent IS NOT NULL
   UNION ALL SELECT c.repo, c.path, l.parent, c.descendant_idx, c.steps + 1 FROM c JOIN l ON l.repo = c.repo AND l.path = c.path AND l.idx = c.idx WHERE l.parent IS NOT NULL)
