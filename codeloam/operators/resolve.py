@@ -95,10 +95,37 @@ def resolve(found: DataFrame, reference: list[str], imported: DataFrame | None =
     return ranked.withColumn("confidence", F.when(F.col("_n") == 1, single).otherwise(several)).where("confidence is not null").drop("_n", "_m", "_locals", "import_confidence")
 
 
+def resolve_plain(references: DataFrame, declarations: DataFrame) -> DataFrame:
+    """resolve(candidates()) without imports, and without spelling out candidates that come to nothing.
+
+    A free name means its one local candidate, else the only one there is, so one row per name with a count and one per
+    file and name answer it; a name that is declared everywhere is never multiplied by its references. A member with a
+    receiver is ambiguous with all its candidates, however many, so nothing is counted. The rest goes the long way.
+    """
+    low = F.lower("language")
+    key = lambda c: F.when(low == "php", F.lower(c)).otherwise(F.col(c))
+    kinds = (F.col("kind") != "property") & (F.col("kind") != "method") & (~F.col("kind").isin(*TYPE_KINDS) | low.isin("python", "ruby"))
+    d = declarations.where(F.col("name").isNotNull() & kinds).select("repo", low.alias("_l"), key("name").alias("_k"), "path", F.coalesce(F.col("visibility") > 0, F.lit(True)).alias("_seen"), F.struct(F.col("path").alias("target_path"), F.col("idx").alias("target_idx"), F.col("line").alias("target_line"), F.col("kind").alias("target_kind")).alias("_t"))
+    anywhere = d.where("_seen").groupBy("repo", "_l", "_k").agg(F.count("*").alias("_n"), F.min("_t").alias("_only"))
+    here = d.groupBy("repo", "_l", "_k", "path").agg(F.count("*").alias("_here"), F.sum((~F.col("_seen")).cast("int")).alias("_hidden"), F.min("_t").alias("_own"))
+    free = references.where("shape = 'Free'").withColumn("_l", low).withColumn("_k", key("name"))
+    met = free.join(anywhere, ["repo", "_l", "_k"], "left").join(here, ["repo", "_l", "_k", "path"], "left")
+    n = F.coalesce("_n", F.lit(0)) + F.coalesce("_hidden", F.lit(0))
+    target = F.when(F.col("_here") == 1, F.col("_own")).when((n == 1) & F.col("_here").isNull(), F.col("_only"))
+    columns = [*references.columns, "target_path", "target_idx", "target_line", "target_kind", "local", "confidence"]
+    sure = met.withColumn("_to", target).where("_to is not null").select(*references.columns, "_to.*", F.coalesce(F.col("_here") == 1, F.lit(False)).alias("local"))
+    sure = sure.withColumn("confidence", F.when(F.col("local") & F.col("receiver").isNull(), 0).otherwise(1)).select(*columns)
+    members = candidates(references.where("shape = 'Member' and receiver is not null"), declarations).withColumn("confidence", F.lit(2)).select(*columns)
+    other = references.where("shape not in ('Free', 'Member') or shape = 'Member' and receiver is null")
+    return sure.unionByName(members).unionByName(resolve(candidates(other, declarations), references.columns).select(*columns))
+
+
 def unique_sites(sites: DataFrame) -> DataFrame:
-    """One row per line and target, the strongest."""
-    w = Window.partitionBy("repo", "path", "line", "target_path", "target_line", "name").orderBy("confidence", "target_idx")
-    return sites.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """One row per line and target, the strongest; folded before the shuffle."""
+    keys = ["repo", "path", "line", "target_path", "target_line", "name"]
+    rest = [c for c in ("confidence", "target_idx", *sites.columns) if c not in keys]
+    rest = list(dict.fromkeys(rest))
+    return sites.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_s")).select(*keys, "_s.*")
 
 
 def without_external(references: DataFrame, bound: DataFrame) -> DataFrame:

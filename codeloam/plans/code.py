@@ -277,7 +277,7 @@ def reference_candidates(spark, d):
 
 
 def sites(spark: SparkSession, d: str) -> DataFrame:
-    return R.resolve(R.candidates(references(spark, d), located(spark, d)), _REFKEY)
+    return R.resolve_plain(references(spark, d), located(spark, d))
 
 
 @query(f"WITH {_SITES} SELECT DISTINCT repo, path, line, name, target_path, target_line, min(confidence) AS confidence FROM sites WHERE confidence IS NOT NULL GROUP BY ALL")

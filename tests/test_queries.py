@@ -1,11 +1,11 @@
 import pytest
 
 import __spark_entry__ as entry
-from codeloam.plans import code, commands, history, more, problems, text
+from codeloam.plans import code, commands, history, more, problems, reports, text
 from compare import DATA, same
 
-CORE = {k: f for m in (text, code, history, commands, more, problems) for k, f in m.QUERIES.items()}
-SQL = {k: s for m in (text, code, history, commands, more, problems) for k, s in m.SQL.items()}
+CORE = {k: f for m in (text, code, history, commands, more, reports, problems) for k, f in m.QUERIES.items()}
+SQL = {k: s for m in (text, code, history, commands, more, reports, problems) for k, s in m.SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
