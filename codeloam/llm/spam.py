@@ -2,7 +2,7 @@
 
 Lines are cut into segments as sentences end, and each segment is reduced to a shape: counts of words, capitals, separators
 and links, in steps, with how it begins and ends. The shape tells a sentence from an entry of a list, whatever the language:
-there is no list of words. A segment of sentence shape whose words keep coming back (a phrase at least once in seven words
+there is no list of words. A segment of sentence shape whose words keep coming back (a phrase at least twice in fifteen words
 of the segments it stands in, or half of a long segment's words) counts as a repeated shape. Code and log entries are
 content. A page is flagged if most of its text lies in segments of other shapes than sentences and few of these shapes
 hold most of it.
@@ -53,9 +53,9 @@ def is_sentence(words: list[str], separators: int, part: str) -> bool:
 
 
 def repeated(segments: list[list[str]]) -> list[bool]:
-    """Which segments are made of phrases that keep coming back.
+    """Which segments of sentence shape are made of phrases that keep coming back.
 
-    A phrase of three words is one if it stands there four times and once in seven words of the segments that have it; a
+    A phrase of three words is one if it stands there four times and twice in fifteen words of the segments that have it; a
     segment is if more than two fifths of its words lie in such phrases, or, from 16 words on, if half of its words have
     been there before.
     """
@@ -65,7 +65,7 @@ def repeated(segments: list[list[str]]) -> list[bool]:
         seen.update(own)
         for p in set(own):
             room[p] += len(words)
-    stuffed = {p for p, n in seen.items() if n >= 4 and 7 * n >= room[p]}
+    stuffed = {p for p, n in seen.items() if n >= 4 and 15 * n >= 2 * room[p]}
     out = []
     for words, own in zip(segments, phrases):
         covered = {i + k for i, p in enumerate(own) if p in stuffed for k in range(3)} if stuffed else ()
@@ -148,13 +148,18 @@ def weigh(text: str) -> tuple[int, Counter]:
                 content += len(part)
             elif words:
                 segments.append((words, part))
-    again = repeated([[w.lower() for w in words] for words, _ in segments])
-    for (words, part), stuffed in zip(segments, again):
+    told: list[tuple[list[str], str, int]] = []
+    for words, part in segments:
         separators = len(_SEPARATORS.findall(part))
-        if is_sentence(words, separators, part) and not stuffed:
-            content += len(part)
+        if is_sentence(words, separators, part):
+            told.append((words, part, separators))
+        else:
+            shapes[shape(words, separators, 0, "list")] += len(part)
+    for (words, part, separators), stuffed in zip(told, repeated([[w.lower() for w in words] for words, _, _ in told])):
+        if stuffed:
+            shapes[shape(words, separators, 0, "repeated")] += len(part)
         else:
-            shapes[shape(words, separators, 0, "repeated" if stuffed else "list")] += len(part)
+            content += len(part)
     return content, shapes
 
 
