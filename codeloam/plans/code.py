@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import graph as G, resolve as R, snapshot as N, spans as P, stats as A
 from ..operators.hierarchy import hierarchy
 from ..operators.intervals import periods
+from ..runtime import stored
 from ..sources.tables import table
 from .problems import reads
 from .registry import Registry
@@ -277,7 +278,8 @@ def reference_candidates(spark, d):
 
 
 def sites(spark: SparkSession, d: str) -> DataFrame:
-    return R.resolve_plain(references(spark, d), located(spark, d))
+    # kept: free names, members and the rest read the references once each
+    return R.resolve_plain(stored(references(spark, d)), located(spark, d))
 
 
 @query(f"WITH {_SITES} SELECT DISTINCT repo, path, line, name, target_path, target_line, min(confidence) AS confidence FROM sites WHERE confidence IS NOT NULL GROUP BY ALL")
