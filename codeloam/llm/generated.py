@@ -8,12 +8,13 @@ and unmasked clusters across repositories indicate vendoring. A file without rel
 and needs a clearer shape; what says of itself that it is output or a copy counts as such without a family.
 
 Buckets are scanned in salted parts of bounded size, and only the leaders of clusters go on to the next round, so a family
-that holds any share of all files is never gathered. What does not shrink by rounds, because it is unlike, is split by
-further values of the signatures.
+that holds any share of all files is never gathered. Rounds only save comparisons: clusters of a crowded bucket that lack
+company after them are compared with all files of other clusters in it, tile by tile, so that no link is lost.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,8 +30,11 @@ SHINGLE, PERMUTATIONS, BANDS, SIMILAR = 5, 128, 16, 0.8
 ROWS = 4
 #: Files of one bucket that are compared in one task.
 PART = 512
-#: Rounds of leaders, and the parts of the signatures by which a bucket that is still too large is split.
-ROUNDS, SPLITS = 6, 8
+#: Rounds of leaders at most, and files in a tile of what they leave.
+ROUNDS, TILE = 6, 4096
+#: Equal values in similar signatures, at least. They differ in fewer values than there are stretches, so one stretch is equal.
+EQUAL = math.ceil(SIMILAR * PERMUTATIONS)
+STRETCHES = PERMUTATIONS - EQUAL + 1
 
 #: Words that languages reserve; they stay when identifiers are masked.
 RESERVED = frozenset(
@@ -248,43 +252,131 @@ def similar_files(sketched: DataFrame, sketch: str, across: bool) -> DataFrame:
     """(repo, path) of files in a cluster with a verified similar file, of another repository if across, else anywhere.
 
     Crowded buckets are scanned in salted parts of PART files, and what leads a cluster in its part goes on to the next
-    round, until a bucket fits one part. A bucket that still does not after ROUNDS is split by further values of the
-    signatures, SPLITS ways at once, so that similar files still meet; its parts stay bounded. Rounds are counted on the
-    driver.
+    round, until a bucket fits one part or ROUNDS are over. What these rounds did not compare is compared by _missed.
+    Rounds are counted on the driver.
     """
-    level, members, within = _crowded(sketched, sketch, across), None, None
+    level, members, crowded = _crowded(sketched, sketch, across), None, None
     for k in range(ROUNDS):
         sizes = level.groupBy("bucket").agg(F.count("*").alias("n"))
         most = sizes.agg(F.max("n")).first()[0] or 0
+        if k == 0 and most > PART:
+            sizes = stored(sizes)
+            crowded = sizes.where(F.col("n") > PART).select("bucket")
         part = F.when(F.col("n") > PART, F.pmod(F.xxhash64("id", F.lit(k)), F.ceil(F.col("n") / PART))).otherwise(0)
         scanned = stored(_scan(level.join(sizes, "bucket").withColumn("part", part.cast("long"))))
-        step = scanned.select("bucket", F.col("id").alias("leader"), F.col("leader").alias("up"))
+        step = scanned.select("bucket", F.col("id").alias("leader"), F.col("leader").alias("up")).distinct()
         members = scanned.drop("sketch") if members is None else members.join(step, ["bucket", "leader"], "left").select("bucket", "id", "home", F.coalesce("up", "leader").alias("leader"))
         level = scanned.where("sketch is not null").select("bucket", "id", "home", "sketch").join(sizes.where(F.col("n") > PART).select("bucket"), "bucket")
         if most <= PART:
             break
-    else:
-        within = _split(level, members)
-    company = (F.min("home") != F.max("home")) if across else (F.min("id") != F.max("id"))
-    found = []
-    for m in (members, within):
-        if m is not None:
-            good = m.groupBy("bucket", "leader").agg(company.alias("ok")).where("ok").drop("ok")
-            found.append(m.join(good, ["bucket", "leader"]).select("id"))
-    ids = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return sketched.select("repo", "path", F.xxhash64("repo", "path").alias("id")).join(ids.distinct(), "id", "left_semi").select("repo", "path").distinct()
-
-
-def _split(level: DataFrame, members: DataFrame) -> DataFrame:
-    """Leaders of buckets that are still crowded, scanned in smaller buckets of equal further values; with all that they lead."""
-    narrow = level.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
-    narrow = narrow.select(F.xxhash64("bucket", "k", F.expr(f"substring(sketch, k * {4 * PERMUTATIONS // SPLITS} + 33, 8)")).alias("small"), "bucket", "id", "home", "sketch")
-    sizes = narrow.groupBy("small").agg(F.count("*").alias("n")).where("n > 1")
-    part = F.when(F.col("n") > PART, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PART))).otherwise(0)
-    met = narrow.join(sizes, "small").select("small", "bucket", "id", "home", "sketch", part.cast("long").alias("part"))
-    scanned = stored(_scan(met.select(F.col("small").alias("bucket"), "part", "id", "home", "sketch")).drop("sketch"))
-    led = members.select(F.col("leader").alias("id"), F.col("id").alias("member"), F.col("home").alias("member_home")).distinct()
-    return scanned.select("bucket", "leader", "id").join(led, "id").select("bucket", "leader", F.col("member").alias("id"), F.col("member_home").alias("home"))
+    ids = F.xxhash64("repo", "path").alias("id")
+    value = "home" if across else "id"
+    if crowded is not None:
+        members = stored(members)
+    good = members.groupBy("bucket", "leader").agg((F.min(value) != F.max(value)).alias("ok")).where("ok").drop("ok")
+    if crowded is not None:
+        rows = sketched.where(F.col(sketch).isNotNull()).select(ids, F.col(sketch).alias("sketch"))
+        good = good.unionByName(_missed(members.join(crowded, "bucket"), rows, value)).distinct()
+    found = members.join(good, ["bucket", "leader"]).select("id").distinct()
+    return sketched.select("repo", "path", ids).join(found, "id", "left_semi").select("repo", "path").distinct()
+
+
+def _missed(members: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    """(bucket, leader) of clusters of crowded buckets that have company only by links that the rounds did not compare.
+
+    members: bucket, id, home, leader; rows: id, sketch. A cluster is open while all its members have one value (home or
+    id). Members of open clusters are compared with those of all other clusters; then company spreads along the links
+    until no open cluster gains any. Signatures that repeat in a cluster count once.
+    """
+    clusters = stored(members.groupBy("bucket", "leader").agg(F.min(value).alias("low"), F.max(value).alias("high")))
+    is_open = F.col("low") == F.col("high")
+    asked = clusters.groupBy("bucket").agg(F.count("*").alias("n"), F.max(is_open).alias("any")).where("n > 1 and any").select("bucket")
+    points = members.join(asked, "bucket").join(clusters, ["bucket", "leader"]).join(rows, "id").select("bucket", "leader", is_open.alias("open"), "sketch")
+    links = stored(_links(_tiled(stored(points.distinct()))).distinct())
+    both = links.unionByName(links.select("bucket", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    state = stored(clusters.join(both.select("bucket", F.col("a").alias("leader")).distinct(), ["bucket", "leader"]))
+    left = state.where(is_open).count()
+    while left:
+        near = both.join(state.withColumnRenamed("leader", "b"), ["bucket", "b"]).groupBy("bucket", F.col("a").alias("leader")).agg(F.min("low").alias("l"), F.max("high").alias("h"))
+        state = stored(state.join(near, ["bucket", "leader"]).select("bucket", "leader", F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high")))
+        before, left = left, state.where(is_open).count()
+        if left == before:
+            break
+    return state.where(~is_open).select("bucket", "leader")
+
+
+def _tiled(points: DataFrame) -> DataFrame:
+    """Points (bucket, leader, open, sketch) with the tiles (a, b) in which they meet, side 0 in a or 1 in b; a row for each pair of tiles.
+
+    A tile holds about TILE points of one bucket, all open or none; clusters that are larger have tiles of their own, which
+    do not meet each other. Tiles of open clusters meet all.
+    """
+    counts = points.groupBy("bucket", "open", "leader").agg(F.count("*").alias("n")).withColumn("sole", F.when(F.col("n") > TILE, F.col("leader")).otherwise(0)).drop("n")
+    held = points.join(counts, ["bucket", "open", "leader"])
+    sizes = held.groupBy("bucket", "open", "sole").agg(F.count("*").alias("n"))
+    tile = F.xxhash64("bucket", "open", "sole", F.pmod(F.xxhash64("leader", "sketch"), F.ceil(F.col("n") / TILE)))
+    placed = stored(held.join(sizes, ["bucket", "open", "sole"]).select("bucket", "open", "sole", "leader", "sketch", tile.alias("tile")))
+    tiles = placed.select("bucket", "open", "sole", "tile").distinct()
+    a, b = (tiles.select("bucket", F.col("open").alias(f"open_{x}"), F.col("sole").alias(f"sole_{x}"), F.col("tile").alias(x)) for x in "ab")
+    pairs = stored(a.where("open_a").join(b, "bucket").where("(not open_b or a <= b) and (sole_a <> sole_b or sole_a = 0)").select("a", "b"))
+    sides = [placed.withColumnRenamed("tile", x).join(pairs.where(on), x).select("bucket", "leader", "sketch", "a", "b", F.lit(k).alias("side")) for k, x, on in ((0, "a", "true"), (1, "b", "a <> b"))]
+    return sides[0].unionByName(sides[1])
+
+
+def _links(met: DataFrame) -> DataFrame:
+    """(bucket, a, b): leaders of clusters that are linked in some pair of tiles, each to one of all that it is linked with there."""
+    keys = ["a", "b"]
+
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        n = table.num_rows
+        cuts = [0, *([i + 1 for i, x in enumerate(changed(table, keys).to_pylist()) if x] if n > 1 else []), n]
+        sketches = table.column("sketch").to_pylist()
+        buckets, leaders, sides = (table.column(c).to_numpy() for c in ("bucket", "leader", "side"))
+        for i, j in zip(cuts, cuts[1:]):
+            s = np.frombuffer(b"".join(sketches[i:j]), np.uint32).reshape(j - i, PERMUTATIONS)
+            names, cluster = np.unique(leaders[i:j], return_inverse=True)
+            first = int((sides[i:j] == 0).sum())
+            joined = joined_clusters(s, cluster, first if first < j - i else 0)
+            a, b = np.unique(np.stack([cluster, joined])[:, cluster != joined], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), buckets[i]), pa.int64()), pa.array(names[a], pa.int64()), pa.array(names[b], pa.int64())], names=["bucket", "a", "b"])
+
+    ordered = met.repartition(*keys).sortWithinPartitions(*keys, "side")
+    return ordered.mapInArrow(whole_groups(keys, run), "bucket long, a long, b long")
+
+
+def joined_clusters(s: np.ndarray, cluster: np.ndarray, first: int) -> np.ndarray:
+    """The clusters of signatures after all links between the first ones and the others, or between any if first is 0."""
+    joined = cluster.copy()
+    for left, right in _may_be_alike(s, first):
+        for i in left.tolist():
+            rest = right[(right > i) & (joined[right] != joined[i])]
+            if len(rest):
+                for c in np.unique(joined[rest[(s[rest] == s[i]).sum(axis=1) >= EQUAL]]):
+                    joined[joined == c] = joined[i]
+    return joined
+
+
+def _may_be_alike(s: np.ndarray, first: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Groups of signatures with an equal stretch, by side: all that can be alike. All at once where that is fewer comparisons."""
+    n = len(s)
+    whole = (np.arange(first or n), np.arange(first, n))
+    groups, pairs = [], 0
+    for columns in np.array_split(np.arange(PERMUTATIONS), STRETCHES):
+        codes = np.zeros(n, np.uint64)
+        for c in columns:
+            codes *= np.uint64(0x9E3779B97F4A7C15)
+            codes += s[:, c]
+        order = np.argsort(codes, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(codes[order])) + 1, [n]])
+        for k in np.flatnonzero(np.diff(cuts) > 1).tolist():
+            g = order[cuts[k] : cuts[k + 1]]
+            left, right = (g[g < first], g[g >= first]) if first else (g, g)
+            if len(left) and len(right):
+                groups.append((left, right))
+                pairs += len(left) * len(right)
+        if pairs >= len(whole[0]) * len(whole[1]):
+            return [whole]
+    return groups
 
 
 def not_by_hand(files: DataFrame, families: bool = True, alone: bool = True, says: bool = True) -> DataFrame:

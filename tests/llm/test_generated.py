@@ -91,3 +91,71 @@ def test_unlike_files_of_one_bucket_are_split(spark, monkeypatch):
     rows.append(("r9", "twin", rows[-1][2]))
     got = G.similar_files(spark.createDataFrame(rows, "repo string, path string, plain binary"), "plain", False)
     assert {r.path for r in got.collect()} == {"f59", "twin"}
+
+
+def _near(n, seed, most):
+    """Files of one band, each up to `most` values off an earlier one or unlike all; seven of eight of one repository."""
+    rng = np.random.default_rng(seed)
+    first, all_, rows = rng.integers(1, 1 << 32, 4, dtype=np.uint32), [], []
+    for i in range(n):
+        s = all_[rng.integers(len(all_))].copy() if all_ and rng.random() < 0.7 else rng.integers(1, 1 << 32, 128, dtype=np.uint32)
+        off = rng.choice(128, rng.integers(18, most), replace=False)
+        s[off] = rng.integers(1, 1 << 32, len(off), dtype=np.uint32)
+        s[:4] = first
+        all_.append(s)
+        rows.append((f"r{int(rng.random() < 0.125)}", f"f{i}", s.tobytes()))
+    return rows
+
+
+def _by_all_pairs(rows, across):
+    """Clusters of each band by comparison of all pairs."""
+    s = np.array([np.frombuffer(x, np.uint32) for *_, x in rows])
+    like, found = (s[:, None] == s[None]).mean(axis=2) >= 0.8, set()
+    for band in range(0, 128, 8):
+        meet = like & (s[:, None, band : band + 4] == s[None, :, band : band + 4]).all(axis=2)
+        seen = set()
+        for i in range(len(rows)):
+            cluster, todo = {i}, [i]
+            while todo and i not in seen:
+                new = set(np.flatnonzero(meet[todo.pop()]).tolist()) - cluster
+                cluster |= new
+                todo += new
+            seen |= cluster
+            if len({rows[j][0] for j in cluster} if across else cluster) > 1:
+                found |= {rows[j][:2] for j in cluster}
+    return found
+
+
+def test_no_link_is_lost_in_crowded_buckets(spark, monkeypatch):
+    from codeloam.llm import generated as G
+
+    for name, v in (("PART", 8), ("ROUNDS", 2), ("TILE", 24)):
+        monkeypatch.setattr(G, name, v, raising=False)
+    for seed, most, across in ((3, 28, True), (4, 34, False)):
+        rows = _near(150, seed, most)
+        got = G.similar_files(spark.createDataFrame(rows, "repo string, path string, plain binary"), "plain", across)
+        assert {tuple(r) for r in got.collect()} == _by_all_pairs(rows, across)
+
+
+def test_similar_files_without_an_equal_split_meet(spark, monkeypatch):
+    from codeloam.llm import generated as G
+
+    monkeypatch.setattr(G, "PART", 8)
+    monkeypatch.setattr(G, "ROUNDS", 2)
+    rng = np.random.default_rng(6)
+    rows, pairs = _near(60, 7, 120), set()
+    rows = [(r, p, rng.integers(1, 1 << 32, 128, dtype=np.uint32)) for r, p, _ in rows]
+    off = np.arange(4, 128, 5)
+    off[[1, 4, 8, 11, 14, 17, 20, 24]] = np.arange(8, 128, 16)
+    off[16] = 82
+    for i in range(12):  # 25 values off, as many as may be: one in each stretch but the last, and in each band but the first
+        twin = rows[i][2].copy()
+        twin[off] += np.uint32(1)
+        rows.append(("z", f"twin{i}", twin))
+        pairs |= {rows[i][1], f"twin{i}"}
+    for _, _, s in rows:
+        s[:4] = 1
+    rows = [(r, p, s.tobytes()) for r, p, s in rows]
+    df = spark.createDataFrame(rows, "repo string, path string, plain binary")
+    for across in (False, True):
+        assert {r.path for r in G.similar_files(df, "plain", across).collect()} == pairs
